@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesela.functions.ids import registry_key, registry_level, work_key
-from tesela.operators import history, orphans
+from tesela.operators import history, orphans, packed
 from tesela.session import table
 
 
@@ -49,6 +49,17 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
     return runs.select(F.col("key").alias("cvu"), F.col("value").alias("nivel"), F.col("valid_from").cast("int").alias("valid_from"), F.col("valid_to").cast("int").alias("valid_to"))
 
 
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    """One row per author, address or keyword of a raw record, with its position."""
+    values = packed.split_fields(table(spark, base, "raw_records"), "record_id", packed.GRAMMARS)
+    return values.select("record_id", "field_name", "item_no", "item_value")
+
+
+def p7_report(spark: SparkSession, base: str) -> DataFrame:
+    """Cells, values and malformed values per field."""
+    return packed.field_report(packed.split_fields(table(spark, base, "raw_records"), "record_id", packed.GRAMMARS))
+
+
 _P2_BASE = r"""
 WITH w AS (SELECT 'W' || regexp_extract(work_id, '(\d+)\s*$', 1) AS k, work_id, referenced_works, ingested_at FROM works),
 p AS (SELECT k, min(ingested_at) AS first_at, max(ingested_at) AS last_at FROM w GROUP BY k),
@@ -77,7 +88,7 @@ g AS (SELECT *, year - row_number() OVER (PARTITION BY cvu, nivel ORDER BY year)
 SELECT cvu, nivel, CAST(min(year) AS INTEGER) AS valid_from, CAST(max(year) AS INTEGER) AS valid_to FROM g GROUP BY cvu, nivel, island
 """
 
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found}
+QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p7_found": p7_found, "p7_report": p7_report}
 SQL = {
     "p2_found": _P2_BASE + "SELECT ref_table, record_key, ref_work_id, state FROM s WHERE state IS NOT NULL",
     "p2_report": _P2_BASE + "SELECT ref_table, strftime(arrived_at AT TIME ZONE 'UTC', '%Y-%m') AS month, state, count(*) AS n_refs, count(DISTINCT ref_work_id) AS n_keys FROM s WHERE state IS NOT NULL GROUP BY 1, 2, 3",
