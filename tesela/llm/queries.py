@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesela.llm import pairs, terms
+from tesela.llm import pairs, quality, terms
 from tesela.operators.current import current_rows
 from tesela.session import durable, table
 
@@ -55,6 +55,16 @@ def p4_pairs(spark: SparkSession, base: str) -> DataFrame:
     return pairs.association(_p4(spark, base), _n_works(spark, base))
 
 
+def p10_stats(spark: SparkSession, base: str) -> DataFrame:
+    """Statistics, label shares and form of every document."""
+    return quality.quality(table(spark, base, "documents"))
+
+
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    """Documents that are mainly not natural prose."""
+    return p10_stats(spark, base).where(F.col("form") != "prose").select("doc_id", "form")
+
+
 _TERMS = r"""
 WITH cur AS (SELECT DISTINCT work_id, {cols} FROM works QUALIFY rank() OVER (PARTITION BY work_id ORDER BY ingested_at DESC) = 1),
 raw AS ({raw}),
@@ -76,7 +86,11 @@ ab AS (SELECT a.field_name, a.term AS item_a, b.term AS item_b, count(*) AS n_ab
 p AS (SELECT ab.field_name, item_a, item_b, ca.n AS n_a, cb.n AS n_b, n_ab, n.n FROM ab JOIN c ca ON ca.field_name = ab.field_name AND ca.term = item_a JOIN c cb ON cb.field_name = ab.field_name AND cb.term = item_b, n)
 """
 
-QUERIES = {"p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_pairs": p4_pairs}
+QUERIES = {
+    "p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_pairs": p4_pairs,
+    "p10_found": p10_found,
+    "p10_stats": p10_stats,
+}
 SQL = {
     "p3_found": _P3_SQL + "SELECT field_name, term, mark FROM m WHERE mark IS NOT NULL",
     "p3_terms": _P3_SQL + "SELECT field_name, term, n_occurrences, n_records, mark FROM m",
