@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesela.llm import pairs, quality, terms
+from tesela.llm import packing, pairs, quality, terms, tokens
 from tesela.operators.current import current_rows
 from tesela.session import durable, table
 
@@ -65,6 +65,25 @@ def p10_found(spark: SparkSession, base: str) -> DataFrame:
     return p10_stats(spark, base).where(F.col("form") != "prose").select("doc_id", "form")
 
 
+def p8_ids(spark: SparkSession, base: str) -> DataFrame:
+    """Token ids of every document by the 50k byte-level vocabulary."""
+    return tokens.encode_documents(table(spark, base, "documents"))
+
+
+CAPACITY = 2048
+
+
+def p9_containers(spark: SparkSession, base: str) -> DataFrame:
+    """Container and order of every document or piece, sizes in tokens of the 50k vocabulary."""
+    sizes = durable(tokens.encode_documents(table(spark, base, "documents"), counts_only=True), eager=True)
+    return packing.pack(sizes, "doc_id", "n_tokens", CAPACITY)
+
+
+def p9_fill(spark: SparkSession, base: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.fill_report(p9_containers(spark, base), CAPACITY)
+
+
 _TERMS = r"""
 WITH cur AS (SELECT DISTINCT work_id, {cols} FROM works QUALIFY rank() OVER (PARTITION BY work_id ORDER BY ingested_at DESC) = 1),
 raw AS ({raw}),
@@ -88,6 +107,9 @@ p AS (SELECT ab.field_name, item_a, item_b, ca.n AS n_a, cb.n AS n_b, n_ab, n.n
 
 QUERIES = {
     "p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_pairs": p4_pairs,
+    "p8_ids": p8_ids,
+    "p9_containers": p9_containers,
+    "p9_fill": p9_fill,
     "p10_found": p10_found,
     "p10_stats": p10_stats,
 }
