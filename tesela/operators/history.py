@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesela.session import durable
+
 FANOUT_BITS = 4
 DEPTH = 3  # leaf buckets: 2 ** (FANOUT_BITS * DEPTH) = 4096
 
@@ -35,24 +37,16 @@ def changed_leaves(snap: DataFrame, fanout_bits: int = FANOUT_BITS, depth: int =
     At most periods x 2**(fanout_bits*depth) rows of hashes take part, whatever the number of keys.
     """
     bits = fanout_bits * depth
-    node = snap.groupBy("period", _leaf(bits).alias("node")).agg(F.expr("bit_xor(xxhash64(key, value))").alias("h"), F.count(F.lit(1)).alias("n"))
-    levels = [node]
-    for _ in range(depth):
-        node = node.groupBy("period", F.shiftright("node", fanout_bits).alias("node")).agg(F.expr("bit_xor(xxhash64(node, h, n))").alias("h"), F.sum("n").alias("n"))
-        levels.append(node)
-    differing = None
-    for nodes in reversed(levels):
-        both = (
-            nodes.select("period", "node", "h", "n", F.lit(1).alias("side"))
-            .unionByName(nodes.select((F.col("period") + 1).alias("period"), "node", "h", "n", F.lit(0).alias("side")))
-            .groupBy("period", "node")
-            .agg(F.expr("max(h) filter (where side = 1)").alias("h1"), F.expr("max(h) filter (where side = 0)").alias("h0"), F.expr("max(n) filter (where side = 1)").alias("n1"), F.expr("max(n) filter (where side = 0)").alias("n0"))
-        )
-        diff = both.where(~(F.col("h1").eqNullSafe(F.col("h0")) & F.col("n1").eqNullSafe(F.col("n0")))).select("period", "node")
-        if differing is not None:
-            up = differing.select("period", F.col("node").alias("parent"))
-            diff = diff.withColumn("parent", F.shiftright("node", fanout_bits)).join(up, ["period", "parent"], "left_semi").select("period", "node")
-        differing = diff
+    leaves = snap.groupBy("period", _leaf(bits).alias("leaf")).agg(F.expr("bit_xor(xxhash64(key, value))").alias("h"), F.count(F.lit(1)).alias("n"))
+    path = F.transform(F.sequence(F.lit(0), F.lit(depth)), lambda i: F.struct(i.alias("level"), F.call_function("shiftright", F.col("leaf"), i * fanout_bits).alias("node")))
+    nodes = leaves.select("period", F.xxhash64("leaf", "h", "n").alias("h"), F.explode(path).alias("at")).groupBy("period", "at.level", "at.node").agg(F.expr("bit_xor(h)").alias("h"))
+    sides = nodes.select("period", "level", "node", "h", F.lit(True).alias("now")).unionByName(nodes.select((F.col("period") + 1).alias("period"), "level", "node", "h", F.lit(False).alias("now")))
+    pairs = sides.groupBy("period", "level", "node").agg(F.expr("max(h) filter (where now)").alias("h1"), F.expr("max(h) filter (where not now)").alias("h0"))
+    unequal = durable(pairs.where(~F.col("h1").eqNullSafe(F.col("h0"))).select("period", "level", "node"), eager=True)
+    differing = unequal.where(F.col("level") == depth).select("period", "node")
+    for level in range(depth - 1, -1, -1):
+        below = unequal.where(F.col("level") == level).select("period", "node", F.shiftright("node", fanout_bits).alias("parent"))
+        differing = below.join(differing.select("period", F.col("node").alias("parent")), ["period", "parent"], "left_semi").select("period", "node")
     return differing.withColumnRenamed("node", "leaf")
 
 
@@ -63,6 +57,7 @@ def versions(snap: DataFrame, fanout_bits: int = FANOUT_BITS, depth: int = DEPTH
     period, since the snapshot has one.
     """
     bits = fanout_bits * depth
+    snap = durable(snap, eager=True)
     leaves = changed_leaves(snap, fanout_bits, depth)
     rows = snap.withColumn("leaf", _leaf(bits))
     sides = rows.select("key", "period", "leaf", F.col("value").alias("new"), F.lit(None).cast("string").alias("old")).unionByName(
