@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesela.llm import packing, pairs, quality, terms, tokens
+from tesela.llm import entities, packing, pairs, quality, terms, tokens
 from tesela.operators.current import current_rows
 from tesela.session import durable, table
 
@@ -65,6 +65,11 @@ def p10_found(spark: SparkSession, base: str) -> DataFrame:
     return p10_stats(spark, base).where(F.col("form") != "prose").select("doc_id", "form")
 
 
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    """Pairs of spellings (or profile ids) of one person or organization."""
+    return entities.name_variants(table(spark, base, "works"), table(spark, base, "author_profiles"), table(spark, base, "institutions"))
+
+
 def p8_ids(spark: SparkSession, base: str) -> DataFrame:
     """Token ids of every document by the 50k byte-level vocabulary."""
     return tokens.encode_documents(table(spark, base, "documents"))
@@ -106,6 +111,7 @@ p AS (SELECT ab.field_name, item_a, item_b, ca.n AS n_a, cb.n AS n_b, n_ab, n.n
 """
 
 QUERIES = {
+    "p1_found": p1_found,
     "p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_pairs": p4_pairs,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
