@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesela.llm import entities, packing, pairs, quality, terms, tokens
+from tesela.llm import entities, linkage, packing, pairs, quality, terms, tokens
 from tesela.operators.current import current_rows
 from tesela.session import durable, table
 
@@ -70,6 +70,17 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
     return entities.name_variants(table(spark, base, "works"), table(spark, base, "author_profiles"), table(spark, base, "institutions"))
 
 
+def p6_pairs(spark: SparkSession, base: str) -> DataFrame:
+    """Registry numbers and profiles of one researcher, with confidence."""
+    pairs = linkage.link(table(spark, base, "snii_historico"), table(spark, base, "author_profiles"), table(spark, base, "institutions"))
+    return pairs.select("cvu", "author_id", "confidence")
+
+
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    """Registry numbers and profiles of one researcher."""
+    return p6_pairs(spark, base).select("cvu", "author_id")
+
+
 def p8_ids(spark: SparkSession, base: str) -> DataFrame:
     """Token ids of every document by the 50k byte-level vocabulary."""
     return tokens.encode_documents(table(spark, base, "documents"))
@@ -113,6 +124,8 @@ p AS (SELECT ab.field_name, item_a, item_b, ca.n AS n_a, cb.n AS n_b, n_ab, n.n
 QUERIES = {
     "p1_found": p1_found,
     "p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_pairs": p4_pairs,
+    "p6_found": p6_found,
+    "p6_pairs": p6_pairs,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
     "p9_fill": p9_fill,
