@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tesela.plans import records
+from tesela.plans import aggregates, records
 
-MODULES = (records,)
+MODULES = (records, aggregates)
 
 
 def queries() -> dict:
