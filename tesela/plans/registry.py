@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tesela.plans import aggregates, records
+from tesela.plans import aggregates, indices, records
 
-MODULES = (records, aggregates)
+MODULES = (records, aggregates, indices)
 
 
 def queries() -> dict:
