@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tesela.plans import aggregates, indices, records
+from tesela.plans import aggregates, indices, predicates, records
 
-MODULES = (records, aggregates, indices)
+MODULES = (records, aggregates, indices, predicates)
 
 
 def queries() -> dict:
