@@ -59,10 +59,21 @@ def near(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1 :]
 
 
-def _nearest(word: str, lexicon: frozenset[str]) -> str | None:
-    """The word of a small fixed lexicon within one edit, if there is exactly one."""
-    found = [x for x in lexicon if near(word, x)]
-    return found[0] if len(found) == 1 else None
+class Lexicon:
+    """A fixed set of words that can be searched within one edit: an edit leaves the first or the last two letters."""
+
+    def __init__(self, words: frozenset[str]):
+        self.ends: dict[str, list[str]] = {}
+        for w in words:
+            for end in {w[:2] + "-", "-" + w[-2:]}:
+                self.ends.setdefault(end, []).append(w)
+
+    def near(self, word: str) -> set[str]:
+        found = {*self.ends.get(word[:2] + "-", ()), *self.ends.get("-" + word[-2:], ())}
+        return {x for x in found if near(word, x)}
+
+
+_GIVEN = Lexicon(GIVEN)
 
 
 @lru_cache(50_000)
@@ -72,7 +83,8 @@ def given_name(token: str) -> str | None:
         return token
     if token in NICKNAMES:
         return NICKNAMES[token]
-    return _nearest(token, GIVEN) if len(token) >= 3 else None
+    found = _GIVEN.near(token) if len(token) >= 3 else ()
+    return next(iter(found)) if len(found) == 1 else None
 
 
 def _tokens(part: str) -> list[str]:
@@ -135,7 +147,7 @@ WORDS = {
     "estatal": "estatal", "state": "estatal", "est": "estatal", "stat": "estatal", "ciencia": "ciencia", "science": "ciencia", "cienc": "ciencia", "colegio": "colegio", "college": "colegio", "col": "colegio",
     "coll": "colegio", "cole": "colegio", "hospi": "hospital",
 }
-_WORD_SET = frozenset(w for w in WORDS if len(w) >= 5)
+_WORD_SET = Lexicon(frozenset(w for w in WORDS if len(w) >= 5))
 # Words that head a unit of an organization.
 _UNITS = frozenset("campus cpus laboratorio lab escuela esc facultad fac unidad u departamento depto dept department school faculty".split())
 _JOINERS = _PARTICLES | frozenset("of for the el en in d n dde ed fe".split())
@@ -150,7 +162,7 @@ def _org_word(token: str) -> str | None:
     if token in WORDS:
         return WORDS[token]
     if len(token) >= 5:
-        found = {WORDS[w] for w in _WORD_SET if near(token, w)}
+        found = {WORDS[w] for w in _WORD_SET.near(token)}
         if len(found) == 1:
             return found.pop()
     return None

@@ -26,10 +26,10 @@ from tesela.llm.names import near
 from tesela.session import durable
 
 RARE = 2  # a spelling in at most so many names may be a slip of an established one
-COSINE = 0.3  # of 3-gram vectors of words
+COSINE = 0.42  # of the vectors of words
+INNER = 0.4  # squared length of the 3-gram part of a vector; the rest is that of its two ends
 TOP_N = 5
 LINKAGE = 0.3  # mean cosine at which clusters still merge
-ALPHABET = "#abcdefghijklmnopqrstuvwxyz"
 
 
 @lru_cache(200_000)
@@ -39,29 +39,29 @@ def grams(word: str) -> tuple[str, ...]:
     return tuple(sorted({w[i : i + 3] for i in range(len(w) - 2)}))
 
 
+def ends(word: str) -> list[str]:
+    """Long n-grams at both ends of a word: four letters, or three where the word has up to eight."""
+    out = [f"#{word[:4]}", f"{word[-4:]}#"] if len(word) >= 8 else []
+    return out + ([f"#{word[:3]}", f"{word[-3:]}#"] if len(word) <= 8 else [])
+
+
 class GramWeights:
     """Inverse document frequencies of 3-grams; at most 27**3 entries, whatever the data."""
 
     def __init__(self, counts: dict[str, int]):
         self.counts, self.top = counts, math.log(2 + max(counts.values(), default=1))
 
-    def vector(self, word: str) -> list[tuple[int, str, float]]:
-        """``(count, gram, weight)`` from the rarest gram on, of unit length."""
-        parts = sorted((self.counts.get(g, 0), g) for g in grams(word))
-        raw = [(n, g, 1 + (self.top - math.log(1 + max(n, 1))) / self.top) for n, g in parts]
-        norm = math.sqrt(sum(w * w for _, _, w in raw)) or 1.0
-        return [(n, g, w / norm) for n, g, w in raw]
-
-    def prefix(self, word: str, threshold: float) -> list[str]:
-        """The rarest grams such that the others alone stay under the threshold."""
-        vector, rest = self.vector(word), 1.0
-        out = []
-        for _, g, w in vector:
-            if rest < threshold * threshold - 1e-9:
-                break
-            out.append(g)
-            rest -= w * w
-        return out
+    def vector(self, word: str) -> dict[str, float]:
+        """Unit vector of a word. 3-grams weigh by rarity and make up ``INNER`` of its squared length.
+
+        Two words that share no end have a cosine of at most ``INNER``, which is under ``COSINE``:
+        posting the ends alone loses no pair. One edit leaves an end and enough 3-grams.
+        """
+        raw = {g: 1 + (self.top - math.log(1 + max(self.counts.get(g, 0), 1))) / self.top for g in grams(word)}
+        scale = math.sqrt(INNER / sum(w * w for w in raw.values()))
+        out = {g: w * scale for g, w in raw.items()}
+        long = ends(word)
+        return out | {g: math.sqrt((1 - INNER) / 2) if len(long) == 2 else math.sqrt((1 - INNER) / 4) for g in long}
 
 
 def gram_weights(words: DataFrame) -> GramWeights:
@@ -75,45 +75,34 @@ def gram_weights(words: DataFrame) -> GramWeights:
 def cosine_join(queries: DataFrame, targets: DataFrame, weights: GramWeights, threshold: float = COSINE, top_n: int = TOP_N) -> DataFrame:
     """``query, target, cosine``: for every query word the ``top_n`` target words of at least ``threshold``.
 
-    queries and targets have a column ``word``. A gram that very many words post is a skewed join
-    key, which adaptive execution splits; a pair is emitted only at its first common gram.
+    queries and targets have a column ``word``. Words meet by the heaviest entries of their vectors,
+    their ends (see ``GramWeights.vector``); an end that very many words share is a skewed join key,
+    which adaptive execution splits; a pair is emitted only at its first common end.
     """
     shared = queries.sparkSession.sparkContext.broadcast(weights)
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
-        for batch in batches:
-            g, word = [], []
-            for x in batch.column(0).to_pylist():
-                for y in w.prefix(x, threshold):
-                    g.append(y)
-                    word.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(g, pa.string()), pa.array(word, pa.string())], ["g", "word"])
+    def posted(df: DataFrame, name: str) -> DataFrame:
+        w, n = F.col("word"), F.length("word")
+        four = F.array(F.concat(F.lit("#"), F.substr(w, F.lit(1), F.lit(4))), F.concat(F.substr(w, n - 3, F.lit(4)), F.lit("#")))
+        three = F.array(F.concat(F.lit("#"), F.substr(w, F.lit(1), F.lit(3))), F.concat(F.substr(w, n - 2, F.lit(3)), F.lit("#")))
+        keys = F.when(n > 8, four).when(n < 8, three).otherwise(F.concat(four, three))
+        return df.select(F.explode(keys).alias("g"), w.alias(name))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
-
-        @lru_cache(100_000)
-        def vector(word: str) -> dict[str, float]:
-            return {y: z for _, y, z in w.vector(word)}
-
+        vector = lru_cache(100_000)(shared.value.vector)
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
             for g, q, t in zip(*[c.to_pylist() for c in batch.columns]):
+                if next((e for e in ends(q) if e in ends(t)), None) != g:
+                    continue
                 a, b = vector(q), vector(t)
-                first, total = None, 0.0
-                for y, z in a.items():
-                    if y in b:
-                        first = first or y
-                        total += z * b[y]
-                if first == g and total >= threshold:
+                total = sum(z * b[y] for y, z in a.items() if y in b)
+                if total >= threshold:
                     for c, v in zip(out, (q, t, total)):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], ["query", "target", "cosine"])
 
-    q = queries.select("word").mapInArrow(post, "g string, word string").withColumnRenamed("word", "query")
-    t = targets.select("word").mapInArrow(post, "g string, word string").withColumnRenamed("word", "target")
-    met = q.join(t, "g").where(F.col("query") != F.col("target")).select("g", "query", "target")
+    met = posted(queries, "query").join(posted(targets, "target"), "g").where(F.col("query") != F.col("target")).select("g", "query", "target")
     found = met.mapInArrow(verify, "query string, target string, cosine double")
     best = Window.partitionBy("query").orderBy(F.desc("cosine"), "target")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_n).drop("rank")
