@@ -89,11 +89,15 @@ def cosine_join(queries: DataFrame, targets: DataFrame, weights: GramWeights, th
         return df.select(F.explode(keys).alias("g"), w.alias(name))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vector = lru_cache(100_000)(shared.value.vector)
+        vector, tips = lru_cache(100_000)(shared.value.vector), lru_cache(100_000)(ends)
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
             for g, q, t in zip(*[c.to_pylist() for c in batch.columns]):
-                if next((e for e in ends(q) if e in ends(t)), None) != g:
+                other = tips(t)
+                for e in tips(q):
+                    if e in other:
+                        break
+                if e != g:
                     continue
                 a, b = vector(q), vector(t)
                 total = sum(z * b[y] for y, z in a.items() if y in b)
@@ -102,7 +106,8 @@ def cosine_join(queries: DataFrame, targets: DataFrame, weights: GramWeights, th
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], ["query", "target", "cosine"])
 
-    met = posted(queries, "query").join(posted(targets, "target"), "g").where(F.col("query") != F.col("target")).select("g", "query", "target")
+    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small postings may meet in many pairs: no coalescing
+    met = posted(queries, "query").repartition(n, "g").join(posted(targets, "target").repartition(n, "g"), "g").where(F.col("query") != F.col("target")).select("g", "query", "target")
     found = met.mapInArrow(verify, "query string, target string, cosine double")
     best = Window.partitionBy("query").orderBy(F.desc("cosine"), "target")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_n).drop("rank")
