@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tesela.plans import aggregates, indices, predicates, records
+from tesela.plans import aggregates, indices, networks, predicates, records, vectors
 
-MODULES = (records, aggregates, indices, predicates)
+MODULES = (records, aggregates, indices, predicates, networks, vectors)
 
 
 def queries() -> dict:
