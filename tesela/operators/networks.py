@@ -50,8 +50,8 @@ def coupling(citing: DataFrame, fractional: bool = False) -> DataFrame:
     """
     per = citing.groupBy("unit", "ref").agg(F.sum("share").alias("s"))
     x, y = per.select("ref", F.col("unit").alias("a"), F.col("s").alias("sa")), per.select("ref", F.col("unit").alias("b"), F.col("s").alias("sb"))
-    w = F.col("sa") * F.col("sb") if fractional else F.lit(1.0)
-    return x.join(y, "ref").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.round(F.sum(w), 4).alias("weight"))
+    w = F.col("sa").cast("decimal(18,12)") * F.col("sb").cast("decimal(18,12)") if fractional else F.lit(1)
+    return x.join(y, "ref").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.sum(w).cast("double").alias("weight"))
 
 
 def citation_edges(works: DataFrame) -> DataFrame:

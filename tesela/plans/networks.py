@@ -46,15 +46,15 @@ _add("J11_record_cross", Q["G02_bipartite"], ", x AS (SELECT id, unnest(countrie
 def _citing(s: SparkSession, d: str, unit: str) -> DataFrame:
     c = corpus(s, d)
     units = F.explode(F.array_distinct(unit)) if dict(c.dtypes)[unit].startswith("array") else F.col(unit)
-    rows = c.where(F.size("references") > 0).select(units.alias("unit"), "references", (1.0 / F.size("references")).alias("share"))
+    rows = c.where(F.size("references") > 0).select(units.alias("unit"), "references", (1.0 / F.size("references")).cast("decimal(18,12)").alias("share"))
     return rows.where(F.col("unit").isNotNull()).select("unit", F.explode("references").alias("ref"), "share")
 
 
 for _unit in ("id", "journal_name", "countries"):
     _u = "unnest(countries)" if _unit == "countries" else _unit
-    _base = f", u AS (SELECT {_u} AS unit, refs, CAST(1 AS DOUBLE) / len(refs) AS share FROM corpus WHERE len(refs) > 0), r AS (SELECT unit, ref, sum(share) AS s FROM (SELECT unit, share, unnest(refs) AS ref FROM u WHERE unit IS NOT NULL) GROUP BY 1, 2)"
+    _base = f", u AS (SELECT {_u} AS unit, refs, CAST(1 AS DOUBLE) / len(refs) AS share FROM corpus WHERE len(refs) > 0), r AS (SELECT unit, ref, sum(CAST(share AS DECIMAL(18,12))) AS s FROM (SELECT unit, share, unnest(refs) AS ref FROM u WHERE unit IS NOT NULL) GROUP BY 1, 2)"
     _add(f"G03_coupling_{_unit}", lambda s, d, _unit=_unit: nw.coupling(_citing(s, d, _unit)), _base + " SELECT x.unit AS a, y.unit AS b, CAST(count(*) AS DOUBLE) AS weight FROM r x JOIN r y ON x.ref = y.ref AND x.unit < y.unit GROUP BY 1, 2")
-_add("G03_coupling_fractional", lambda s, d: nw.coupling(_citing(s, d, "journal_name"), True), _base.replace("unnest(countries) AS unit", "journal_name AS unit") + " SELECT x.unit AS a, y.unit AS b, round(sum(x.s * y.s), 4) AS weight FROM r x JOIN r y ON x.ref = y.ref AND x.unit < y.unit GROUP BY 1, 2")
+_add("G03_coupling_fractional", lambda s, d: nw.coupling(_citing(s, d, "journal_name"), True), _base.replace("unnest(countries) AS unit", "journal_name AS unit") + " SELECT x.unit AS a, y.unit AS b, CAST(sum(CAST(x.s AS DECIMAL(18,12)) * CAST(y.s AS DECIMAL(18,12))) AS DOUBLE) AS weight FROM r x JOIN r y ON x.ref = y.ref AND x.unit < y.unit GROUP BY 1, 2")
 _add("J09_shared_reference_join", Q["G03_coupling_journal_name"], SQL["G03_coupling_journal_name"], raw=True)
 _E = ", e AS (SELECT c.id AS src, t.id AS dst, c.publication_year - t.publication_year AS year_diff FROM (SELECT id, publication_year, unnest(refs) AS ref FROM corpus) c JOIN corpus t ON t.id = c.ref WHERE c.id <> t.id)"
 _add("G04_citation_undirected", lambda s, d: nw.citation_edges(corpus(s, d)).groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count(F.lit(1)).alias("weight")), _E + " SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS weight FROM e GROUP BY 1, 2")
