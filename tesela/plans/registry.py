@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tesela.plans import aggregates, indices, networks, predicates, records, sources, streams, vectors
+from tesela.plans import aggregates, extras, indices, networks, predicates, records, sources, streams, vectors
 
-MODULES = (records, aggregates, indices, predicates, networks, vectors, sources, streams)
+MODULES = (records, aggregates, indices, predicates, networks, vectors, sources, streams, extras)
 
 
 def queries() -> dict:
