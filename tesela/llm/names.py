@@ -12,7 +12,7 @@ GIVEN = frozenset(
     fernando francisco gabriela gerardo graciela guadalupe guillermo hector hortensia ignacio isabel javier jesus jorge jose julia leticia
     lucia manuel margarita martin mercedes nicolas oscar patricia pilar rafael ramon raquel roberto rosario sergio teresa tomas ulises
     veronica victoria wilfrido ximena yolanda zenaida maria juan carlos luis miguel pedro pablo ana rosa laura carmen adriana alicia
-    armando arturo claudia david diana edgar elena felipe gustavo hugo irma ivan jaime lorena marco mario monica norma raul ricardo silvia""".split()
+    armando arturo claudia david diana edgar elena felipe gustavo hugo irma ivan jaime lorena marco mario monica norma raul ricardo silvia eva luz paz leo noe""".split()
 )
 # Usual short forms of given names.
 NICKNAMES = {
@@ -88,7 +88,7 @@ def given_name(token: str) -> str | None:
 
 
 def _tokens(part: str) -> list[str]:
-    """Words in lower case without accents; initials as single letters."""
+    """Words in lower case without accents; initials as single letters (also "AB" and "A.B.")."""
     out = []
     for raw in re.split(r"[\s\-–,;]+", repair(part)):
         bare = re.sub(r"[^\w.'’]", "", raw)
@@ -101,7 +101,7 @@ def _tokens(part: str) -> list[str]:
         word = re.sub(r"[^a-z]", "", plain("".join(letters)))
         if not word or word in _TITLES:
             continue
-        if len(word) <= 3 and bare.replace(".", "").isupper():
+        if len(word) <= 3 and bare.replace(".", "").isupper() and word not in GIVEN:
             out += list(word)
         elif len(word) == 1 or word not in _PARTICLES:
             out.append(word)

@@ -105,15 +105,16 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     size) is broadcast; items do not. Keys must be unique. Null sizes count as 0.
     """
     spark = sizes.sparkSession
-    pieces = cut_pieces(sizes.withColumn(size, F.coalesce(F.col(size), F.lit(0))), key, size, capacity)
+    plain = sizes.select(F.col(key).alias("_key"), F.coalesce(F.col(size), F.lit(0)).alias("_size"))
+    pieces = cut_pieces(plain, "_key", "_size", capacity)
     histogram = {r["size"]: r["n"] for r in pieces.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots, _ = plan_slots(histogram, capacity)
     plan = spark.createDataFrame(slots, "slot_size int, rank_from long, rank_to long, first_container long, per_container long, first_order long")
-    ranked = rank_within_size(pieces, key)
+    ranked = rank_within_size(pieces, "_key")
     placed = ranked.join(F.broadcast(plan), (F.col("size") == F.col("slot_size")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
     step = F.col("rank") - F.col("rank_from")
     return placed.select(
-        key,
+        F.col("_key").alias(key),
         "piece_no",
         "start",
         "size",

@@ -91,9 +91,9 @@ def pair_counts(records: DataFrame, key: str, fields: list[str], min_pair: int =
     def tagged(field: str) -> Column:
         return F.transform(F.array_distinct(field), lambda x: F.struct(F.lit(field).alias("field_name"), x.alias("item")))
 
-    each = records.select(key, F.explode(F.concat(*map(tagged, fields))).alias("t")).select(key, "t.*")
+    each = records.select(F.col(key).alias("_record"), F.explode(F.concat(*map(tagged, fields))).alias("t")).select("_record", "t.*")
     codes = durable(encode_items(each, min_pair), eager=True)
-    baskets = each.join(codes.select("field_name", "item", "id"), ["field_name", "item"]).groupBy(key, "field_name").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    baskets = each.join(codes.select("field_name", "item", "id"), ["field_name", "item"]).groupBy("_record", "field_name").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     runs = baskets.where(F.size("ids") > 1).select("ids").mapInArrow(_sorted_runs, "code long, n long")
     counted = runs.repartition(F.col("code")).sortWithinPartitions("code").mapInArrow(_merge_runs, "code long, n long")
     frequent = counted.where(F.col("n") >= min_pair).select(F.shiftright("code", 32).alias("id_x"), F.col("code").bitwiseAND(F.lit((1 << 32) - 1)).alias("id_y"), F.col("n").alias("n_ab"))
