@@ -72,9 +72,11 @@ def gram_weights(words: DataFrame) -> GramWeights:
     return GramWeights({r["g"]: r["n"] for r in counts.collect()})
 
 
-def cosine_join(queries: DataFrame, targets: DataFrame, weights: GramWeights, threshold: float = COSINE, top_n: int = TOP_N) -> DataFrame:
+def cosine_join(queries: DataFrame, targets: DataFrame, weights: GramWeights, threshold: float = COSINE, top_n: int = TOP_N, length_gap: int | None = None) -> DataFrame:
     """``query, target, cosine``: for every query word the ``top_n`` target words of at least ``threshold``.
 
+    ``length_gap`` leaves out targets whose length differs by more, where a later check would anyway.
+
     queries and targets have a column ``word``. Words meet by the heaviest entries of their vectors,
     their ends (see ``GramWeights.vector``); an end that very many words share is a skewed join key,
     which adaptive execution splits; a pair is emitted only at its first common end.
@@ -108,6 +110,8 @@ def cosine_join(queries: DataFrame, targets: DataFrame, weights: GramWeights, th
 
     n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small postings may meet in many pairs: no coalescing
     met = posted(queries, "query").repartition(n, "g").join(posted(targets, "target").repartition(n, "g"), "g").where(F.col("query") != F.col("target")).select("g", "query", "target")
+    if length_gap is not None:
+        met = met.where(F.abs(F.length("query") - F.length("target")) <= length_gap)
     found = met.mapInArrow(verify, "query string, target string, cosine double")
     best = Window.partitionBy("query").orderBy(F.desc("cosine"), "target")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_n).drop("rank")
@@ -123,7 +127,7 @@ def repair_words(words: DataFrame) -> DataFrame:
     words = words.where(F.col("word").rlike("^[a-z]{5,}$"))
     rare, known = words.where(F.col("n") <= RARE).select("word"), words.where(F.col("n") > RARE).select("word", "n")
     weights = gram_weights(words)
-    links = cosine_join(rare, known, weights).where(F.levenshtein("query", "target", 2) >= 0)
+    links = cosine_join(rare, known, weights, length_gap=1).where(F.levenshtein("query", "target", 2) >= 0)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
