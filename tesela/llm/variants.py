@@ -2,10 +2,9 @@
 
 Two rounds, both on weighted character n-gram vectors:
 
-1. Spellings of single words (surnames, places). Rare words meet established ones in a sparse
-   top-n cosine join over 3-gram vectors. The join is distributed: every word posts only the
-   rarest grams whose rest cannot reach the threshold (prefix filter), postings meet by gram,
-   and the exact cosine is taken of the pairs that meet. A check of one edit confirms a link.
+1. Spellings of single words (surnames, places). Words meet the much more frequent ones in a
+   cosine join over 3-gram vectors. The join is distributed: every word posts its ends, postings
+   meet, and the exact cosine is taken of the pairs that meet. A check of one edit confirms a link.
 2. Whole names. Names whose repaired first surname and initial agree meet in small blocks, where
    cosine similarities under compatibility (equal, initial of, or missing parts) are grouped by
    average-linkage clustering; incompatible members never share a cluster.
@@ -19,13 +18,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesela.llm.names import near
 from tesela.session import durable
 
-RARE = 2  # a spelling in at most so many names may be a slip of an established one
+RARE = 2  # what at most so many names hold is not guessed to be what an acronym stands for
+RATIO, CHANCE = 4, 1.25  # a slip, less so many chance occurrences, is at least so many times rarer than its word
 COSINE = 0.42  # of the vectors of words
 INNER = 0.4  # squared length of the 3-gram part of a vector; the rest is that of its two ends
 TOP_N = 5
@@ -72,8 +72,8 @@ def gram_weights(words: DataFrame) -> GramWeights:
     return GramWeights({r["g"]: r["n"] for r in counts.collect()})
 
 
-def cosine_join(queries: DataFrame, targets: DataFrame, weights: GramWeights, threshold: float = COSINE, top_n: int = TOP_N, length_gap: int | None = None) -> DataFrame:
-    """``query, target, cosine``: for every query word the ``top_n`` target words of at least ``threshold``.
+def cosine_join(queries: DataFrame, targets: DataFrame, weights: GramWeights, threshold: float = COSINE, top_n: int | None = TOP_N, length_gap: int | None = None) -> DataFrame:
+    """``query, target, cosine``: for every query word the ``top_n`` target words of at least ``threshold`` (None: all).
 
     ``length_gap`` leaves out targets whose length differs by more, where a later check would anyway.
 
@@ -113,47 +113,60 @@ def cosine_join(queries: DataFrame, targets: DataFrame, weights: GramWeights, th
     if length_gap is not None:
         met = met.where(F.abs(F.length("query") - F.length("target")) <= length_gap)
     found = met.mapInArrow(verify, "query string, target string, cosine double")
+    if top_n is None:
+        return found
     best = Window.partitionBy("query").orderBy(F.desc("cosine"), "target")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_n).drop("rank")
 
 
+def may_be_slip(n_slip: Column, n_word: Column) -> Column:
+    """Whether a spelling in ``n_slip`` names is rare enough, relative to one in ``n_word``, to be a slip of it."""
+    return (n_word > n_slip) & ((n_slip - CHANCE) * RATIO <= n_word)
+
+
 def repair_words(words: DataFrame) -> DataFrame:
-    """``word, fixed`` for rare spellings that an established word explains.
+    """``word, fixed`` for spellings that a more frequent word explains.
 
-    words: ``word, n`` (names that have it). A rare word links to the established word of greatest
-    cosine within one edit; a long one that is two established words written together becomes
-    both, with a blank between. Words without an explanation do not appear.
+    words: ``word, n`` (names that have it). Every word may be a slip and may be what others are
+    slips of; their relative frequency decides (``may_be_slip``), so it holds at every size. A word
+    links to the most frequent one within one edit, of equals to that of greatest cosine; a long one
+    that is two words written together becomes both, with a blank between. A word whose explanation
+    is itself a slip gets the explanation of that. Words without an explanation do not appear.
     """
     words = words.where(F.col("word").rlike("^[a-z]{5,}$"))
-    rare, known = words.where(F.col("n") <= RARE).select("word"), words.where(F.col("n") > RARE).select("word", "n")
     weights = gram_weights(words)
-    links = cosine_join(rare, known, weights, length_gap=1).where(F.levenshtein("query", "target", 2) >= 0)
+    counts = lambda name: words.select(F.col("word").alias(name), F.col("n").alias(f"n_{name}"))
+    links = cosine_join(words, words, weights, top_n=None, length_gap=1).where(F.levenshtein("query", "target", 2) >= 0).join(counts("query"), "query").join(counts("target"), "target").where(may_be_slip(F.col("n_query"), F.col("n_target"))).select("query", "target", "cosine", "n_target")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [near(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns], batch.schema.names)
 
-    close = links.mapInArrow(check, "query string, target string, cosine double")
-    slips = close.groupBy(F.col("query").alias("word")).agg(F.max_by("target", F.struct("cosine", "target")).alias("fixed"), F.lit(2).alias("rank"))
+    close = links.mapInArrow(check, "query string, target string, cosine double, n_target long")
+    slips = close.groupBy(F.col("query").alias("word")).agg(F.max_by("target", F.struct("n_target", "cosine", "target")).alias("fixed"), F.lit(2).alias("rank"))
     cuts = F.sequence(F.lit(5), F.length("word") - 5)
-    split = rare.where(F.length("word") >= 10).select("word", F.explode(cuts).alias("cut")).select("word", F.substr("word", F.lit(1), "cut").alias("a"), F.substr("word", F.col("cut") + 1).alias("b"))
-    heads, tails = known.select(F.col("word").alias("a"), F.col("n").alias("na")), known.select(F.col("word").alias("b"), F.col("n").alias("nb"))
-    joined = split.join(heads, "a").join(tails, "b").groupBy("word").agg(F.max_by(F.concat_ws(" ", "a", "b"), F.struct(F.least("na", "nb"), "a")).alias("fixed"), F.lit(1).alias("rank"))
-    return slips.unionByName(joined).groupBy("word").agg(F.min_by("fixed", "rank").alias("fixed"))
+    split = words.where(F.length("word") >= 10).select("word", "n", F.explode(cuts).alias("cut")).select("word", "n", F.substr("word", F.lit(1), "cut").alias("a"), F.substr("word", F.col("cut") + 1).alias("b"))
+    less = F.least("n_a", "n_b")
+    joined = split.join(counts("a"), "a").join(counts("b"), "b").where(may_be_slip(F.col("n"), less)).groupBy("word").agg(F.max_by(F.concat_ws(" ", "a", "b"), F.struct(less, "a")).alias("fixed"), F.lit(1).alias("rank"))
+    fixes = durable(slips.unionByName(joined).groupBy("word").agg(F.min_by("fixed", "rank").alias("fixed")), eager=True)
+    while True:  # frequencies rise with every step, so this ends
+        each = fixes.select("word", F.posexplode(F.split("fixed", " ")).alias("pos", "part"))
+        further = fixes.select(F.col("word").alias("part"), F.col("fixed").alias("next"))
+        if each.join(further, "part").isEmpty():
+            return fixes
+        parts = F.sort_array(F.collect_list(F.struct("pos", F.coalesce("next", "part").alias("part"))))
+        fixes = durable(each.join(further, "part", "left").groupBy("word").agg(F.concat_ws(" ", F.transform(parts, lambda x: x["part"])).alias("fixed")), eager=True)
 
 
 def repair_names(names: DataFrame) -> DataFrame:
     """``names`` with the words of ``family`` repaired. names: ``key, given, family`` (arrays) and more; keys unique.
 
-    Rare words belong to at most ``RARE`` names each, so the repairs travel to the names by key and
-    frequent words are never shuffled as join keys.
+    The repairs, which are few, meet the names by word; frequent words have none.
     """
     each = names.select("key", F.posexplode("family").alias("pos", "word"))
-    at = F.struct("key", "pos")
-    words = durable(each.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("lo"), F.max(at).alias("hi")), eager=True)
-    fixes = repair_words(words.select("word", "n")).join(words, "word")
-    by_name = fixes.select("fixed", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("at")).groupBy(F.col("at.key").alias("key")).agg(F.map_from_entries(F.collect_list(F.struct("at.pos", "fixed"))).alias("fixes"))
+    words = durable(each.groupBy("word").agg(F.count(F.lit(1)).alias("n")), eager=True)
+    by_name = each.join(repair_words(words), "word").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("pos", "fixed"))).alias("fixes"))
     new = F.flatten(F.transform("family", lambda w, i: F.split(F.coalesce(F.get(F.map_values(F.map_filter("fixes", lambda k, _: k == i)), F.lit(0)), w), " ")))
     return names.join(by_name, "key", "left").withColumn("family", F.when(F.col("fixes").isNull(), F.col("family")).otherwise(new)).drop("fixes")
 

@@ -83,6 +83,16 @@ def test_variants_of_a_name(spark):
     assert set(people[:6]) in groups.values() and set(people[6:8]) in groups.values() and set(people[8:]) in groups.values()
 
 
+def test_slips_are_rare_relative_to_their_word(spark):
+    """However often a slip occurs; two frequent words one edit apart stay, a slip of a slip gets the word itself."""
+    words = [("sachichirga", 60), ("sachochirga", 9), ("zachochirga", 1), ("pliyabonza", 100), ("pliyabonsa", 60), ("cejegulla", 5), ("cejegula", 2), ("rugutrondi", 2), ("ruguttrondi", 1)]
+    got = dict(rows_of(variants.repair_words(spark.createDataFrame(words, "word string, n long"))))
+    assert got == {"sachochirga": "sachichirga", "zachochirga": "sachichirga", "cejegula": "cejegulla", "ruguttrondi": "rugutrondi"}
+    people = [(f"{w} {i}", [g], [w]) for w, n in (("sachichirga", 20), ("sachochirga", 4)) for i, g in enumerate("abcdefghijklmnopqrst"[:n])]
+    repaired = variants.repair_names(spark.createDataFrame(people, "key string, given array<string>, family array<string>"))
+    assert {tuple(r.family) for r in repaired.collect()} == {("sachichirga",)}
+
+
 def test_terms_against_plain_counts(spark):
     rows = [("a", ["Soil", "soil ", " SOIL\t use", None, ""]), ("b", ["Soil", "útil"]), ("c", ["útil", "Útil"]), ("d", None), ("e", [])]
     df = terms.normal_terms(spark.createDataFrame(rows, "id string, k array<string>"), ["k"])
