@@ -2,9 +2,10 @@
 
 Two rounds, both on weighted character n-gram vectors:
 
-1. Spellings of single words (surnames, places). Words meet the much more frequent ones in a
-   cosine join over 3-gram vectors. The join is distributed: every word posts its ends, postings
-   meet, and the exact cosine is taken of the pairs that meet. A check of one edit confirms a link.
+1. Spellings of single words (surnames, places). Words meet the much more frequent ones within one
+   edit. The join is distributed and exact: every word posts itself and its variants without one
+   letter, postings meet, a check of one edit confirms a pair, and the cosine of 3-gram vectors
+   decides between equally frequent words.
 2. Whole names. Names whose repaired first surname and initial agree meet in small blocks, where
    cosine similarities under compatibility (equal, initial of, or missing parts) are grouped by
    average-linkage clustering; incompatible members never share a cluster.
@@ -55,7 +56,7 @@ class GramWeights:
         """Unit vector of a word. 3-grams weigh by rarity and make up ``INNER`` of its squared length.
 
         Two words that share no end have a cosine of at most ``INNER``, which is under ``COSINE``:
-        posting the ends alone loses no pair. One edit leaves an end and enough 3-grams.
+        posting the ends alone loses no pair of that cosine (some pairs within one edit are under it).
         """
         raw = {g: 1 + (self.top - math.log(1 + max(self.counts.get(g, 0), 1))) / self.top for g in grams(word)}
         scale = math.sqrt(INNER / sum(w * w for w in raw.values()))
@@ -72,8 +73,8 @@ def gram_weights(words: DataFrame) -> GramWeights:
     return GramWeights({r["g"]: r["n"] for r in counts.collect()})
 
 
-def cosine_join(queries: DataFrame, targets: DataFrame, weights: GramWeights, threshold: float = COSINE, top_n: int | None = TOP_N, length_gap: int | None = None) -> DataFrame:
-    """``query, target, cosine``: for every query word the ``top_n`` target words of at least ``threshold`` (None: all).
+def cosine_join(queries: DataFrame, targets: DataFrame, weights: GramWeights, threshold: float = COSINE, top_n: int = TOP_N, length_gap: int | None = None) -> DataFrame:
+    """``query, target, cosine``: for every query word the ``top_n`` target words of at least ``threshold``.
 
     ``length_gap`` leaves out targets whose length differs by more, where a later check would anyway.
 
@@ -113,12 +114,34 @@ def cosine_join(queries: DataFrame, targets: DataFrame, weights: GramWeights, th
     if length_gap is not None:
         met = met.where(F.abs(F.length("query") - F.length("target")) <= length_gap)
     found = met.mapInArrow(verify, "query string, target string, cosine double")
-    if top_n is None:
-        return found
     best = Window.partitionBy("query").orderBy(F.desc("cosine"), "target")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_n).drop("rank")
 
 
+def one_edit_join(words: DataFrame, weights: GramWeights) -> DataFrame:
+    """``query, target, n_target, cosine``: every word with every one within one edit that it may be a slip of. words: ``word, n``.
+
+    Words meet by themselves and their variants without one letter: two words within one insertion,
+    deletion, substitution or swap of neighbours have one in common at every length, and few words
+    share one, so no key is hot. A pair may appear more than once.
+    """
+    shared = words.sparkSession.sparkContext.broadcast(weights)
+    w = F.col("word")
+    without = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))
+    posted = lambda name: words.select(F.explode(F.array_distinct(F.concat(F.array(w), without))).alias("key"), w.alias(name), F.col("n").alias(f"n_{name}"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vector = lru_cache(100_000)(shared.value.vector)
+        for batch in batches:
+            kept = [(q, t, n) for q, t, n in zip(*[c.to_pylist() for c in batch.columns]) if near(q, t)]
+            cosines = [sum(z * b[y] for y, z in vector(q).items() if y in b) for q, t, _ in kept for b in (vector(t),)]
+            columns = [[x[i] for x in kept] for i in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(cosines, pa.float64())], ["query", "target", "n_target", "cosine"])
+
+    met = posted("query").join(posted("target"), "key").where((F.col("query") != F.col("target")) & may_be_slip(F.col("n_query"), F.col("n_target")))
+    return met.select("query", "target", "n_target").mapInArrow(verify, "query string, target string, n_target long, cosine double")
+
+
 def may_be_slip(n_slip: Column, n_word: Column) -> Column:
     """Whether a spelling in ``n_slip`` names is rare enough, relative to one in ``n_word``, to be a slip of it."""
     return (n_word > n_slip) & ((n_slip - CHANCE) * RATIO <= n_word)
@@ -133,17 +156,9 @@ def repair_words(words: DataFrame) -> DataFrame:
     that is two words written together becomes both, with a blank between. A word whose explanation
     is itself a slip gets the explanation of that. Words without an explanation do not appear.
     """
-    words = words.where(F.col("word").rlike("^[a-z]{5,}$"))
-    weights = gram_weights(words)
+    words = words.where(F.col("word").rlike("^[a-z]{3,}$"))
     counts = lambda name: words.select(F.col("word").alias(name), F.col("n").alias(f"n_{name}"))
-    links = cosine_join(words, words, weights, top_n=None, length_gap=1).where(F.levenshtein("query", "target", 2) >= 0).join(counts("query"), "query").join(counts("target"), "target").where(may_be_slip(F.col("n_query"), F.col("n_target"))).select("query", "target", "cosine", "n_target")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [near(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns], batch.schema.names)
-
-    close = links.mapInArrow(check, "query string, target string, cosine double, n_target long")
+    close = one_edit_join(words, gram_weights(words))
     slips = close.groupBy(F.col("query").alias("word")).agg(F.max_by("target", F.struct("n_target", "cosine", "target")).alias("fixed"), F.lit(2).alias("rank"))
     cuts = F.sequence(F.lit(5), F.length("word") - 5)
     split = words.where(F.length("word") >= 10).select("word", "n", F.explode(cuts).alias("cut")).select("word", "n", F.substr("word", F.lit(1), "cut").alias("a"), F.substr("word", F.col("cut") + 1).alias("b"))

@@ -93,6 +93,18 @@ def test_slips_are_rare_relative_to_their_word(spark):
     assert {tuple(r.family) for r in repaired.collect()} == {("sachichirga",)}
 
 
+def test_one_edit_join_loses_no_pair(spark):
+    """Against all pairs, from three letters on; slips in the middle of short words are repaired."""
+    rng = random.Random(2)
+    known = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(3, 9))) for _ in range(120)})
+    words = [(w, 100 if i % 2 else 1) for i, w in enumerate(known)]
+    df = spark.createDataFrame(words, "word string, n long")
+    got = {(r["query"], r["target"]) for r in variants.one_edit_join(df, variants.gram_weights(df)).collect()}
+    assert got == {(a, b) for (a, n), (b, m) in itertools.product(words, words) if n < m and names.near(a, b)}
+    short = [("lopez", 30), ("lozez", 1), ("garcia", 30), ("gacria", 2), ("ruiz", 30), ("riuz", 1), ("paz", 30), ("pza", 1)]
+    assert dict(rows_of(variants.repair_words(spark.createDataFrame(short, "word string, n long")))) == {"lozez": "lopez", "gacria": "garcia", "riuz": "ruiz", "pza": "paz"}
+
+
 def test_terms_against_plain_counts(spark):
     rows = [("a", ["Soil", "soil ", " SOIL\t use", None, ""]), ("b", ["Soil", "útil"]), ("c", ["útil", "Útil"]), ("d", None), ("e", [])]
     df = terms.normal_terms(spark.createDataFrame(rows, "id string, k array<string>"), ["k"])
