@@ -100,8 +100,12 @@ def author_ids(c: Column) -> Column:
 
 
 def copyright_split(c: Column) -> Column:
-    """``text, notice``: an abstract and the copyright notice at its end."""
-    pattern = r"(?i)\s*((?:©|\(c\)|copyright)\s.*)$"
+    """``text, notice``: an abstract and the copyright notice at its end.
+
+    A notice fills the last line, follows the end of a sentence there or begins with its year; signs
+    within sentences or words (as in damaged texts) are none.
+    """
+    pattern = r"(?i)(?:^|(?<=[.!?\n])|\s(?=(?:©|\(c\)|copyright)[\s©]*\d{4}))\s*((?:©|\(c\)|copyright)(?:\s|(?<=©)\d).*)\s*$"
     return F.struct(F.regexp_replace(c, pattern, "").alias("text"), F.nullif(F.regexp_extract(c, pattern, 1), F.lit("")).alias("notice"))
 
 

@@ -290,7 +290,7 @@ _add("X30_clean_text", lambda s, d: table(s, d, "documents").select("doc_id", F.
 _add("X31_doi_anywhere", lambda s, d: table(s, d, "works").select("work_id", F.regexp_extract(F.coalesce("doi", "title"), r"(10\.\d{4,9}/\S+)", 1).alias("doi")).where(F.col("doi") != "").distinct(), r"SELECT DISTINCT work_id, regexp_extract(coalesce(doi, title), '(10\.\d{4,9}/\S+)', 1) AS doi FROM works WHERE regexp_extract(coalesce(doi, title), '(10\.\d{4,9}/\S+)', 1) <> ''", raw=True)
 _add("X32_null_sentinel", lambda s, d: table(s, d, "snii_historico").groupBy(tx.valid(F.col("nivel")).alias("valid")).agg(F.count(F.lit(1)).alias("n")), "SELECT coalesce(lower(trim(nivel)) NOT IN ('', 'none', 'nan', '<na>', 'null'), false) AS valid, count(*) AS n FROM snii_historico GROUP BY 1", raw=True)
 _add("X37_month", lambda s, d: table(s, d, "orders").select("o_orderkey", tx.month_number(F.date_format("o_orderdate", "MMM")).alias("m")), "SELECT o_orderkey, CAST(month(o_orderdate) AS INTEGER) AS m FROM orders", raw=True)
-_add("X38_copyright_split", lambda s, d: table(s, d, "documents").select("doc_id", tx.copyright_split(F.concat(F.substr("text", F.lit(1), F.lit(0)), F.lit("Abstract text. © 2020 Publisher"))).alias("p")).select("doc_id", "p.*"), "SELECT doc_id, CASE WHEN text IS NOT NULL THEN 'Abstract text.' END AS text, CASE WHEN text IS NOT NULL THEN '© 2020 Publisher' END AS notice FROM documents", raw=True)
+_add("X38_copyright_split", lambda s, d: table(s, d, "documents").select("doc_id", tx.copyright_split(F.col("text")).alias("p")).select("doc_id", "p.*"), "SELECT doc_id, CASE WHEN text IS NOT NULL THEN 'Abstract text.' END AS text, CASE WHEN text IS NOT NULL THEN '© 2020 Publisher' END AS notice FROM documents", raw=True)
 
 
 def _bib(s: SparkSession, d: str) -> DataFrame:

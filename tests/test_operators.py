@@ -16,6 +16,7 @@ from tesela.operators import som
 from tesela.operators import textmining as tm
 from tesela.operators import vectors as vc
 from tesela.operators.growth import growth_models
+from tesela.plans import predicates
 from tesela.sources import bibliographic as bib
 from tesela.sources import packages, sinks, sql
 
@@ -125,6 +126,14 @@ def test_packages_and_stores(spark):
     assert rows_of(sinks.upsert(a, b, "id", "at")) == [("k", 1, "new"), ("m", 1, "m")]
 
 
+def test_copyright_notices(spark, tmp_path):
+    """X38 reads the texts themselves."""
+    texts = {1: ("Soil use.\nThe lake. © 2020 Publisher", "Soil use.\nThe lake.", "© 2020 Publisher"), 2: ("Soil use. (c) 2019 A. Roe. All rights reserved.", "Soil use.", "(c) 2019 A. Roe. All rights reserved."), 3: ("Soil use Copyright 2021 X", "Soil use", "Copyright 2021 X"), 4: ("Soil use.\nCopyright Elsevier", "Soil use.", "Copyright Elsevier"), 5: ("mig©a|i\\n e© © fácil y copyright law", "mig©a|i\\n e© © fácil y copyright law", None), 6: ("© 2020 X.\nSoil use.", "© 2020 X.\nSoil use.", None), 7: ("Soil use. ©2020 X", "Soil use.", "©2020 X"), 8: (None, None, None), 9: ("", "", None)}
+    spark.createDataFrame([(k, t) for k, (t, _, _) in texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.notice) for r in predicates.QUERIES["X38_copyright_split"](spark, str(tmp_path)).collect()}
+    assert got == {k: (a, b) for k, (_, a, b) in texts.items()}
+
+
 def test_words_and_citations(spark):
     df = spark.createDataFrame([("network analyses", "Methods: soil use of the lake. © 2020 X")], "a string, b string")
     r = df.select(tm.singular(F.col("a")), tm.clean_abstract(F.col("b")), tm.noun_phrases(F.lit("Soil quality of the northern lake"))).collect()[0]
