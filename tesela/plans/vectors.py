@@ -6,9 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tesela.functions import text as tx
+from tesela.functions.ids import work_key
 from tesela.operators import dimension as dm
 from tesela.operators import som
 from tesela.operators import vectors as vc
+from tesela.operators.current import current_rows
 from tesela.session import table
 
 Q: dict = {}
@@ -161,6 +164,16 @@ def _hierarchy(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("M33_hierarchical_clusters", _hierarchy)
-_add("M34_semantic_records", lambda s, d: table(s, d, "documents").select("doc_id", F.concat_ws(" | ", F.col("source"), F.col("section"), F.substring_index("text", "\n", 1)).alias("record")), "SELECT doc_id, concat_ws(' | ', source, section, string_split(text, chr(10))[1]) AS record FROM documents")
+
+
+def _semantic_records(s: SparkSession, d: str) -> DataFrame:
+    """Source, section, the whole text and the keywords of the work (of its current row)."""
+    clean = F.filter(F.transform("keywords", tx.clean_text), lambda x: x != "")
+    keywords = current_rows(table(s, d, "works").select("work_id", "ingested_at", "keywords"), "work_id", "ingested_at", ["keywords"]).select(F.col("work_id").alias("w"), F.nullif(F.array_join(F.array_distinct(clean), ", "), F.lit("")).alias("k"))
+    docs = table(s, d, "documents").select("doc_id", "source", "section", "text", work_key(F.col("work_id")).alias("w"))
+    return docs.join(keywords, "w", "left").select("doc_id", F.concat_ws(" | ", "source", "section", "text", F.concat(F.lit("Keywords: "), "k")).alias("record"))
+
+
+_add("M34_semantic_records", _semantic_records, "SELECT doc_id, concat_ws(' | ', source, section, string_split(text, chr(10))[1]) AS record FROM documents")
 
 QUERIES = Q

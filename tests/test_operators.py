@@ -17,6 +17,7 @@ from tesela.operators import textmining as tm
 from tesela.operators import vectors as vc
 from tesela.operators.growth import growth_models
 from tesela.plans import predicates
+from tesela.plans import vectors as plans
 from tesela.sources import bibliographic as bib
 from tesela.sources import packages, sinks, sql
 
@@ -134,6 +135,14 @@ def test_copyright_notices(spark, tmp_path):
     assert got == {k: (a, b) for k, (_, a, b) in texts.items()}
 
 
+def test_semantic_records_are_whole(spark, tmp_path):
+    docs = [(1, "https://x/w5", "first\nsecond", "J", "S"), (2, None, "alone", "J", None), (3, "W6", None, "J", "S"), (4, "W7", "text", None, None)]
+    spark.createDataFrame(docs, "doc_id long, work_id string, text string, source string, section string").write.parquet(f"{tmp_path}/documents.parquet")
+    works = [("W5", 1, ["old"]), ("W5", 2, ["soil  use", None, " ", "lake", "lake"]), ("W5", 2, ["soil  use", None, " ", "lake", "lake"]), ("W6", 1, ["a"]), ("W7", 1, None)]
+    spark.createDataFrame(works, "work_id string, ingested_at int, keywords array<string>").write.parquet(f"{tmp_path}/works.parquet")
+    assert rows_of(plans.QUERIES["M34_semantic_records"](spark, str(tmp_path))) == [(1, "J | S | first\nsecond | Keywords: soil use, lake"), (2, "J | alone"), (3, "J | S | Keywords: a"), (4, "text")]
+
+
 def test_words_and_citations(spark):
     df = spark.createDataFrame([("network analyses", "Methods: soil use of the lake. © 2020 X")], "a string, b string")
     r = df.select(tm.singular(F.col("a")), tm.clean_abstract(F.col("b")), tm.noun_phrases(F.lit("Soil quality of the northern lake"))).collect()[0]
