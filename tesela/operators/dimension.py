@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesela.operators.vectors import nearest
+from tesela.operators.vectors import POINT_CHUNK, QUERY_BLOCK, nearest
 
 
 def eigen_rules(values: np.ndarray) -> dict[str, float]:
@@ -145,15 +145,40 @@ def danco(local: DataFrame, k: int, most: int = 32) -> DataFrame:
     return cand.agg(F.min_by("c", gap).alias("dimension"))
 
 
+def inseparable_pairs(points: DataFrame, queries: DataFrame, alphas: tuple[float, ...]) -> dict[float, int]:
+    """Per margin the number of (query, other point) pairs whose product reaches it. points, queries: ``id, v`` of unit length.
+
+    All pairs are compared: queries in blocks against points in chunks, as in ``nearest``, a slice of
+    queries at a time; one row of counts per task leaves it.
+    """
+    blocks, chunks = max(1, math.ceil(queries.count() / QUERY_BLOCK)), max(1, math.ceil(points.count() / POINT_CHUNK))
+    h = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
+    q = queries.select(F.col("id").alias("q"), F.col("v").alias("x"), h(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    p = points.select(F.col("id").alias("p"), F.col("v").alias("y"), h(chunks).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+
+    def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        n = np.zeros(len(alphas), int)
+        if len(a) and len(b):
+            x, y, other = np.stack(a.x.to_numpy()), np.stack(b.y.to_numpy()).T, b.p.to_numpy()
+            for at in range(0, len(x), 128):
+                s = x[at : at + 128] @ y
+                s[a.q.to_numpy()[at : at + 128, None] == other] = -np.inf
+                n += [int((s >= m).sum()) for m in alphas]
+        return pd.DataFrame({"alpha": alphas, "n": n})
+
+    found = q.groupBy("block", "chunk").cogroup(p.groupBy("block", "chunk")).applyInPandas(count, "alpha double, n long")
+    return dict.fromkeys(alphas, 0) | {r["alpha"]: r["n"] for r in found.groupBy("alpha").agg(F.sum("n").alias("n")).collect()}
+
+
 def fisher_separability(points: DataFrame, queries: DataFrame, vector: str = "embedding", alphas: tuple[float, ...] = (0.6, 0.7, 0.8, 0.88, 0.92, 0.96)) -> DataFrame:
-    """Share of point pairs that a query cannot be separated from, per margin, and the dimension of equal share on a sphere.
+    """Share of the pairs of a query and a point that are inseparable, per margin, and the dimension of equal share on a sphere.
 
     Points are whitened to the unit sphere; the query matrix (a stated set) goes in blocks of the
     session's broadcast.
     """
     from tesela.operators.vectors import spectrum
 
-    _, mean, values, axes = spectrum(points, vector)
+    n_points, mean, values, axes = spectrum(points, vector)
     keep = values > values[0] / 10
     w = axes[:, keep] / np.sqrt(values[keep])
     spark = points.sparkSession
@@ -167,13 +192,11 @@ def fisher_separability(points: DataFrame, queries: DataFrame, vector: str = "em
 
     p = points.select("vec_id", vector).mapInPandas(project, "id long, v array<double>")
     q = p.join(queries.select(F.col("vec_id").alias("id")), "id", "left_semi")
-    near = nearest(p, q, 50, "id", "v", "cosine").withColumn("s", 1 - F.col("distance"))
-    n_pairs = q.count()
-    shares = near.select("query", "s", F.explode(F.array(*map(F.lit, alphas))).alias("alpha")).groupBy("alpha").agg(F.countDistinct(F.when(F.col("s") >= F.col("alpha"), F.col("query"))).alias("n"))
+    n_pairs = n_points * q.count()
+    counts = inseparable_pairs(p, q, alphas)
     rows = []
-    for r in shares.collect():
-        share = r["n"] / max(n_pairs, 1)
-        a = r["alpha"]
+    for a in alphas:
+        share = counts[a] / max(n_pairs, 1)
         d = None
         if 0 < share < 1:
             b = -math.log(1 - a * a)

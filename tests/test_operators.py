@@ -71,6 +71,21 @@ def test_dimension_of_a_plane(spark):
     assert 1.5 < dm.two_nn(local).collect()[0].dimension < 2.6
 
 
+def test_inseparable_pairs_are_all_counted(spark):
+    """Against all pairs of the whitened points; a dense vector has more than 50 inseparable partners."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(200, 3)), rng.normal((4, 4, 4), 0.1, (150, 3))])
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").cache()
+    _, mean, values, axes = vc.spectrum(p, "embedding")
+    keep = values > values[0] / 10
+    z = (x - mean) @ (axes[:, keep] / np.sqrt(values[keep]))
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    s = z @ z.T
+    np.fill_diagonal(s, -1)
+    got = {r.alpha: r for r in dm.fisher_separability(p, p.where("vec_id % 10 = 0")).collect()}
+    assert len(got) == 6 and all(r.inseparable == pytest.approx((s[::10] >= a).sum() / (35 * 350)) and r.dimension is not None for a, r in got.items())
+
+
 def test_map_learns(spark):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(c, 0.1, (60, 3)) for c in (0.0, 3.0)])
