@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesela.operators.vectors import POINT_CHUNK, QUERY_BLOCK, nearest
+from tesela.session import durable
 
 
 def eigen_rules(values: np.ndarray) -> dict[str, float]:
@@ -210,10 +211,18 @@ def fisher_separability(points: DataFrame, queries: DataFrame, vector: str = "em
 
 
 def smooth_local(local: DataFrame, found: DataFrame, column: str) -> DataFrame:
-    """Local estimates averaged with those of the neighbours that are queries too."""
+    """Per query of ``found`` the mean of its local estimate and those of all its neighbours; local has all of them."""
     other = local.select(F.col("query").alias("neighbour"), F.col(column).alias("v"))
-    both = found.select("query", "neighbour").join(other, "neighbour").unionByName(local.select("query", F.col("query").alias("neighbour"), F.col(column).alias("v")))
-    return both.groupBy("query").agg(F.avg("v").alias("smoothed"))
+    own = found.select("query", F.col("query").alias("neighbour")).distinct()
+    return found.select("query", "neighbour").unionByName(own).join(other, "neighbour").groupBy("query").agg(F.avg("v").alias("smoothed"))
+
+
+def smoothed_estimates(points: DataFrame, queries: DataFrame, column: str, k: int = 15, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """``query, smoothed``: estimates are taken at the queries and at all their neighbours, then averaged."""
+    found = durable(nearest(points, queries, k, key, vector), eager=True)
+    ids = found.select(F.col("query").alias(key)).union(found.select("neighbour")).distinct()
+    local = local_estimates(points, durable(points.join(ids, key, "left_semi"), eager=True), k, key, vector)
+    return smooth_local(local, found, column)
 
 
 def manifold(spark, kind: str, n: int, d: int, seed: int = 42) -> DataFrame:

@@ -148,7 +148,7 @@ _add("M25_mind_ml", lambda s, d: dm.mind_ml(_local(s, d), 15))
 _add("M26_danco", lambda s, d: dm.danco(_local(s, d), 15))
 _add("M28_fisher", lambda s, d: dm.fisher_separability(points(s, d), query_points(s, d)))
 _add("M30_lpca", lambda s, d: _local(s, d).agg(*[F.avg(f"lpca_{r}").alias(r) for r in ("fo", "fan", "maxgap", "ratio", "participation", "kaiser", "broken_stick")]))
-_add("M31_smoothed", lambda s, d: dm.smooth_local(_local(s, d), _knn(s, d, "euclidean", 15), "mle"))
+_add("M31_smoothed", lambda s, d: dm.smoothed_estimates(points(s, d), query_points(s, d), "mle"))
 _add("M32_manifolds", lambda s, d: dm.manifold(s, "sphere", 500, 5).select("vec_id", F.round(F.sqrt(vc.dot(F.col("embedding"), F.col("embedding"))), 6).alias("norm")), "SELECT unnest(range(500)) AS vec_id, 1.0::DOUBLE AS norm")
 
 

@@ -86,6 +86,18 @@ def test_inseparable_pairs_are_all_counted(spark):
     assert len(got) == 6 and all(r.inseparable == pytest.approx((s[::10] >= a).sum() / (35 * 350)) and r.dimension is not None for a, r in got.items())
 
 
+def test_smoothing_takes_all_neighbours(spark):
+    x = np.random.default_rng(5).normal(size=(200, 4))
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").cache()
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    np.fill_diagonal(d, np.inf)
+    order = np.argsort(d, axis=1)[:, :15]
+    r = np.take_along_axis(d, order, 1)
+    mle = 14 / np.log(r[:, -1:] / r[:, :-1]).sum(1)
+    got = {r["query"]: r.smoothed for r in dm.smoothed_estimates(p, p.where("vec_id % 50 = 0"), "mle").collect()}
+    assert got == {q: pytest.approx(np.mean([mle[q], *mle[order[q]]])) for q in (0, 50, 100, 150)}
+
+
 def test_map_learns(spark):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(c, 0.1, (60, 3)) for c in (0.0, 3.0)])
