@@ -39,20 +39,20 @@ def p3_terms(spark: SparkSession, base: str) -> DataFrame:
 _P4 = ["author_keywords", "concepts", "countries"]
 
 
-def _p4(spark: SparkSession, base: str) -> DataFrame:
+def _p4(spark: SparkSession, base: str, min_pair: int) -> DataFrame:
     records = durable(_current_terms(spark, base, _P4), eager=True)
-    return pairs.pair_counts(records, "work_id", _P4, 5)
+    return pairs.pair_counts(records, "work_id", _P4, min_pair)
 
 
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
     """Pairs found in five works or more and at least three times as often as chance."""
-    found = _p4(spark, base).where(F.col("n_ab") * _n_works(spark, base) >= 3 * F.col("n_a") * F.col("n_b"))
+    found = _p4(spark, base, 5).where(F.col("n_ab") * _n_works(spark, base) >= 3 * F.col("n_a") * F.col("n_b"))
     return found.select("field_name", "item_a", "item_b")
 
 
 def p4_pairs(spark: SparkSession, base: str) -> DataFrame:
-    """All pairs found in five works or more, with lift and odds ratio."""
-    return pairs.association(_p4(spark, base), _n_works(spark, base))
+    """All pairs found in the same work, with count, lift and odds ratio."""
+    return pairs.association(_p4(spark, base, 1), _n_works(spark, base))
 
 
 def p10_stats(spark: SparkSession, base: str) -> DataFrame:

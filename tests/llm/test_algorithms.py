@@ -128,6 +128,19 @@ def test_pairs_against_plain_counts(spark):
     assert got == {p: (one[p[0]], one[p[1]], n) for p, n in count.items() if n >= 3}
 
 
+def test_all_pairs_are_reported(spark):
+    """p4_pairs has no floor: pairs of one work and rare items count too."""
+    got = {(r.field_name, r.item_a, r.item_b): (r.n_a, r.n_b, r.n_ab) for r in queries.QUERIES["p4_pairs"](spark, DATA).collect()}
+    works = queries._current_terms(spark, DATA, queries._P4).collect()
+    one, two = Counter(), Counter()
+    for r in works:
+        for f in queries._P4:
+            items = sorted(set(r[f] or []))
+            one.update((f, x) for x in items)
+            two.update((f, *p) for p in itertools.combinations(items, 2))
+    assert min(two.values()) == 1 and got == {(f, a, b): (one[f, a], one[f, b], n) for (f, a, b), n in two.items()}
+
+
 def test_linkage_levels_and_estimation():
     assert linkage._family_level(["soto", "lara"], ["soto"]) == 2 and linkage._family_level(["soto", "lara"], ["soto", "vega"]) == 0
     assert linkage._given_level(["ana", "luz"], ["a"]) == 1 and linkage._given_level(["ana"], ["eva"]) == 0 and linkage._given_level(["ana", "luz"], ["ana", "luz"]) == 4
