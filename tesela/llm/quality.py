@@ -59,30 +59,30 @@ def line_symbol(line: str, previous: str, words: list[str], n_common: int) -> st
     size, tokens = len(text), text.split()
     n = len(tokens)
     share = n_common / len(words) if words else 0.0
-    if size < 400:
-        if text.startswith(("+-", "+=")) or (text[0] == "|" and text[-1] == "|" and size > 2):
-            return "g"
-        if "\t" in text:
-            return "t"
-        for sep in ";,":
-            if sep in text and sep + " " not in text:
-                cells = text.rstrip(sep).split(sep)
-                numbers = sum(map(bool, map(_NUMBER.match, cells)))
-                if len(cells) >= 2 and (numbers >= len(cells) / 3 or (len(cells) >= 3 and n <= 2 * len(cells))):
-                    return "d"
-        if "  " in text:
-            cells = re.split(r" {2,}", text)
-            if len(cells) >= 3 and (any(map(_NUMBER.match, cells)) or n <= 2 * len(cells)):
-                return "f"
-        if (m := _KEY.match(text)) and n <= 7 and len(m.group(1).split()) <= 3:
-            return "k" if m.group(2) or line.endswith(": ") or len(m.group(1)) < 9 else "h"
-        rest = _BULLET.sub("", text)
-        if len(noise := _NOISE.findall(rest)) >= 2 and len(noise) > 0.08 * size:
-            return "x"
-        if _LEADER.search(text) or (n <= 16 and _BULLET.match(text)):
-            return "b"
-        if _REFERENCE.match(text):
-            return "c"
+    short = size < 400  # in longer lines prose may hold separators: cells must be short there too
+    if text.startswith(("+-", "+=")) or (text[0] == "|" and text[-1] == "|" and size > 2):
+        return "g"
+    if "\t" in text and (short or text.count("\t") >= 2 or n <= 16):
+        return "t"
+    for sep in ";,":
+        if sep in text and sep + " " not in text:
+            cells = text.rstrip(sep).split(sep)
+            numbers = sum(map(bool, map(_NUMBER.match, cells)))
+            if len(cells) >= 2 and (numbers >= len(cells) / 3 or (len(cells) >= 3 and n <= 2 * len(cells))):
+                return "d"
+    if "  " in text:
+        cells = re.split(r" {2,}", text)
+        if len(cells) >= 3 and ((any(map(_NUMBER.match, cells)) and (short or n <= 8 * len(cells))) or n <= 2 * len(cells)):
+            return "f"
+    if (m := _KEY.match(text)) and n <= 7 and len(m.group(1).split()) <= 3:
+        return "k" if m.group(2) or line.endswith(": ") or len(m.group(1)) < 9 else "h"
+    rest = _BULLET.sub("", text)
+    if len(noise := _NOISE.findall(rest)) >= 2 and len(noise) > 0.08 * size:
+        return "x"
+    if _LEADER.search(text) or (n <= 16 and _BULLET.match(text)):
+        return "b"
+    if _REFERENCE.match(text) and (short or share < 0.2):
+        return "c"
     if text == previous and n <= 8:
         return "r"
     longest = max(map(len, tokens))

@@ -144,3 +144,17 @@ def test_posteriors_sum_to_one_and_counts_match():
     codes = np.random.default_rng(0).integers(0, len(quality.SYMBOLS), (7, 9))
     post, moves = quality.LineModel.prior().posteriors(codes)
     assert np.allclose(post.sum(2), 1) and np.allclose(moves.sum((1, 2)), 8)
+
+
+def test_wide_rows_are_rows():
+    """The form of a table does not depend on the length of its lines."""
+    cells = [f"value {i}" if i % 2 else f"{i}.5" for i in range(80)]
+    prose = "the share of the works that were cited by others in the years after they came out is shown for all of the fields. " * 6
+
+    def symbol(line):
+        words = [w.lower() for w in quality._WORD.findall(line)]
+        return quality.line_symbol(line, "", words, sum(w in quality.COMMON for w in words))
+
+    rows = {"t": "\t".join(cells), "g": "| " + " | ".join(cells) + " |", "d": ";".join(cells), "f": "   ".join(cells)}
+    assert all(len(x) > 400 for x in (*rows.values(), prose)) and {k: symbol(x) for k, x in rows.items()} == {k: k for k in rows}
+    assert symbol(prose) == symbol(prose.replace("fields. ", "fields.\t", 1)) == symbol(prose.replace(" the years ", "  2006  ")) == "p"
