@@ -1,30 +1,23 @@
-"""Parts of typed names: given names and surnames of persons, kind and place of organizations."""
+"""Words, roles and forms of typed names of persons and organizations, in any script.
+
+No vocabulary of names is built in: which words are given names or surnames, which are slips,
+short forms or translations of others, is learned from the names themselves (``variants``,
+``organizations``).
+"""
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
-from functools import lru_cache
-
-# Common given names of the region, used to tell given names from surnames.
-GIVEN = frozenset(
-    """alberto alejandro andrea antonio beatriz benjamin catalina cecilia concepcion daniela dolores eduardo elizabeth emilio enrique
-    fernando francisco gabriela gerardo graciela guadalupe guillermo hector hortensia ignacio isabel javier jesus jorge jose julia leticia
-    lucia manuel margarita martin mercedes nicolas oscar patricia pilar rafael ramon raquel roberto rosario sergio teresa tomas ulises
-    veronica victoria wilfrido ximena yolanda zenaida maria juan carlos luis miguel pedro pablo ana rosa laura carmen adriana alicia
-    armando arturo claudia david diana edgar elena felipe gustavo hugo irma ivan jaime lorena marco mario monica norma raul ricardo silvia eva luz paz leo noe""".split()
-)
-# Usual short forms of given names.
-NICKNAMES = {
-    "alex": "alejandro", "benja": "benjamin", "beto": "roberto", "betty": "beatriz", "cata": "catalina", "chabela": "isabel", "chayo": "rosario", "chela": "graciela",
-    "chuy": "jesus", "concha": "concepcion", "gaby": "gabriela", "javi": "javier", "lalo": "eduardo", "lety": "leticia", "liz": "elizabeth", "lola": "dolores",
-    "lupe": "guadalupe", "lupita": "guadalupe", "mago": "margarita", "manolo": "manuel", "memo": "guillermo", "moncho": "ramon", "nacho": "ignacio", "nando": "fernando",
-    "nico": "nicolas", "paco": "francisco", "pancho": "francisco", "paty": "patricia", "pepe": "jose", "quique": "enrique", "rafa": "rafael", "tencha": "hortensia",
-    "tere": "teresa", "tono": "antonio", "vero": "veronica", "vicky": "victoria", "yayo": "gerardo",
-}
-_TITLES = frozenset("dr dra mtro mtra prof profa phd msc ing lic".split())
-_PARTICLES = frozenset("de del la las los da das do dos y e von van".split())
+
+# Academic titles, and particles that belong to the surname after them.
+TITLES = frozenset("dr dra mtro mtra prof profa phd msc ing lic".split())
+PARTICLES = frozenset("de del la las los da das do dos y e von van".split())
 _MOJIBAKE = re.compile("[ÃÂ]")
+_GAP = re.compile(r"[\s\-–,;]+")
+_OUTER = re.compile(r"[^\w.'’]")
+_NO_LETTER = re.compile(r"[\W\d_]")
 
 
 def repair(text: str) -> str:
@@ -39,10 +32,10 @@ def repair(text: str) -> str:
 
 
 def plain(text: str) -> str:
-    """Lower case without accents."""
+    """Lower case without accents; letters of other scripts stay."""
     if text.isascii():
         return text.lower()
-    return "".join(c for c in unicodedata.normalize("NFKD", repair(text)) if not unicodedata.combining(c)).lower()
+    return "".join(c for c in unicodedata.normalize("NFKD", repair(text)) if not unicodedata.combining(c)).casefold()
 
 
 def near(a: str, b: str) -> bool:
@@ -59,156 +52,136 @@ def near(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1 :]
 
 
-class Lexicon:
-    """A fixed set of words that can be searched within one edit: an edit leaves the first or the last two letters."""
+def initial(word: str) -> bool:
+    """Whether a word is a single letter of a script with capitals; in other scripts one sign is a word."""
+    return len(word) == 1 and word.upper() != word.lower()
 
-    def __init__(self, words: frozenset[str]):
-        self.ends: dict[str, list[str]] = {}
-        for w in words:
-            for end in {w[:2] + "-", "-" + w[-2:]}:
-                self.ends.setdefault(end, []).append(w)
 
-    def near(self, word: str) -> set[str]:
-        found = {*self.ends.get(word[:2] + "-", ()), *self.ends.get("-" + word[-2:], ())}
-        return {x for x in found if near(word, x)}
+def person_tokens(name: str) -> tuple[list[str], list[int], list[int]]:
+    """Words of a typed name, where they stand (0 before a comma, 1 after it, 2 without one), and whether they may be initials.
 
+    The last is 0 for a plain word, 1 for two or three capitals in a name written in capitals, and 2
+    for two or three capitals in another name.
+    """
+    text = repair(name)
+    lower = any(c.islower() for c in text)
+    left, comma, right = text.partition(",")
+    parts = [(left, 0), (right, 1)] if comma and left.strip() else [(text, 2)]
+    words, sides, caps = [], [], []
+    for part, side in parts:
+        for raw in _GAP.split(part):
+            bare = _OUTER.sub("", raw)
+            letters = [x for x in bare.split(".") if x]
+            if not letters:
+                continue
+            if "." in bare and all(len(x) == 1 for x in letters):
+                found = [plain(x) for x in letters]
+            else:
+                word = _NO_LETTER.sub("", plain("".join(letters)))
+                if not word or word in TITLES:
+                    continue
+                found = [word]
+            short = 2 <= len(found[0]) <= 3 and len(found) == 1 and "." not in bare and bare.isupper()
+            for w in found:
+                words.append(w)
+                sides.append(side)
+                caps.append((2 if lower else 1) if short else 0)
+    # a particle stands before the word it belongs to; in capitals at the end of a name, or in a name not in capitals, it is initials
+    keep = [not (w in PARTICLES and len(w) > 1 and caps[i] < 2 and i + 1 < len(words) and sides[i] == sides[i + 1]) for i, w in enumerate(words)]
+    return tuple([x for x, k in zip(y, keep) if k] for y in (words, sides, caps))
+
+
+def parse_person(tokens: list[tuple[int, int, list[tuple[str, int, int, int]]]]) -> tuple[list[str], list[str]]:
+    """Given names and surnames of a tokenized name.
+
+    tokens: side, whether it may be initials, and the (repaired) words, each with the number of names
+    that have it before a comma, after one, and written otherwise than in capitals. A comma decides;
+    without one, the split is taken under which the words stand most often where they belong.
+    """
+    words: list[tuple[str, int, float]] = []
+    for side, caps, parts in tokens:
+        alone = side == 0 and sum(t[0] == 0 for t in tokens) == 1
+        if caps and not alone and len(tokens) > 1 and (caps == 2 or not any(p[3] for p in parts)):
+            words += [(c, side, 0.0) for p in parts for c in p[0].replace(" ", "")]
+        else:
+            words += [(p[0], side, math.log((p[2] + 0.5) / (p[1] + 0.5))) for p in parts]
+    family = [w for w, s, _ in words if s == 0]
+    given = [w for w, s, _ in words if s == 1]
+    if family:
+        return given, family
+    words = [(w, 2, r) for w, _, r in words]
+    n = len(words)
+    if n < 2:
+        return [], [w for w, _, _ in words]
+    cost = [(-2.0, 2.5) if initial(w) else (-math.log1p(math.exp(-min(max(r, -30), 30))), -math.log1p(math.exp(min(max(r, -30), 30)))) for w, _, r in words]
+    best: tuple[float, list[str], list[str]] | None = None
+    for k in range(1, n):
+        size = -0.1 * abs(k - min(2, n // 2)) - (0.7 if k > 2 else 0.0) - (0.7 if n - k > 2 else 0.0)
+        for first in (True, False):
+            g, f = (range(k), range(k, n)) if first else (range(n - k, n), range(n - k))
+            if initial(words[f[0]][0]) and not all(initial(w) for w, _, _ in words):
+                continue
+            total = size - (0.0 if first else 0.3) + sum(0.0 if initial(words[i][0]) else cost[i][0] for i in g) + sum(-2.5 if initial(words[i][0]) else cost[i][1] for i in f)
+            if best is None or total > best[0] + 1e-9:
+                best = (total, [words[i][0] for i in g], [words[i][0] for i in f])
+    return (best[1], best[2]) if best else ([], [w for w, _, _ in words])
 
-_GIVEN = Lexicon(GIVEN)
 
+def _shortened(parts: list[str], least: int) -> list[list[str]]:
+    """A list of parts and its shorter forms: some in full, the next as initials, the others left out."""
+    n = len(parts)
+    out = []
+    for shown in range(min(least, n), n + 1):
+        for full in range(shown + 1):
+            out.append([p if i < full else p[:1] for i, p in enumerate(parts[:shown])])
+    return out
 
-@lru_cache(50_000)
-def given_name(token: str) -> str | None:
-    """Canonical given name of a token (short forms and one edit allowed), else null."""
-    if token in GIVEN:
-        return token
-    if token in NICKNAMES:
-        return NICKNAMES[token]
-    found = _GIVEN.near(token) if len(token) >= 3 else ()
-    return next(iter(found)) if len(found) == 1 else None
 
+def forms(given: list[str], family: list[str]) -> list[str]:
+    """Signatures that the same name may have when shortened, without its own. The first surname stays in full."""
+    own = signature(given, family)
+    heads = [family[:1] + rest for rest in _shortened(family[1:], 0)]
+    out = {signature(g, f) for g in (_shortened(given, 1) if given else [[]]) for f in heads}
+    out.discard(own)
+    return sorted(out)
 
-def _tokens(part: str) -> list[str]:
-    """Words in lower case without accents; initials as single letters (also "AB" and "A.B.")."""
-    out = []
-    for raw in re.split(r"[\s\-–,;]+", repair(part)):
-        bare = re.sub(r"[^\w.'’]", "", raw)
-        if not bare:
-            continue
-        letters = [x for x in bare.split(".") if x]
-        if "." in bare and letters and all(len(x) == 1 for x in letters):
-            out += [plain(x) for x in letters]
-            continue
-        word = re.sub(r"[^a-z]", "", plain("".join(letters)))
-        if not word or word in _TITLES:
-            continue
-        if len(word) <= 3 and bare.replace(".", "").isupper() and word not in GIVEN:
-            out += list(word)
-        elif len(word) == 1 or word not in _PARTICLES:
-            out.append(word)
-    return out
 
+def signature(given: list[str], family: list[str]) -> str:
+    return " ".join(given) + "|" + " ".join(family)
 
-def person(name: str) -> tuple[list[str], list[str]]:
-    """Given names (canonical, or initials) and surnames of a typed personal name.
 
-    Understands "Surnames, Given", "Given Surnames", "SURNAMES GIVEN" and initials on either
-    side. A name without any letters gives two empty lists.
-    """
-    if "," in name:
-        left, right = name.split(",", 1)
-        surnames, given = _tokens(left), _tokens(right)
-        if surnames:
-            return [given_name(t) or t if len(t) > 1 else t for t in given], surnames
-        name = right
-    tokens = _tokens(name)
-    if not tokens:
-        return [], []
-    known = [given_name(t) if len(t) > 1 else None for t in tokens]
-    n = len(tokens)
-    if len(tokens[0]) > 1 and known[0] is None and n > 1 and (len(tokens[-1]) == 1 or known[-1]):
-        at = n
-        while at > 1 and n - at < 2 and (len(tokens[at - 1]) == 1 or known[at - 1]):
-            at -= 1
-        return [known[i] or tokens[i] for i in range(at, n)], tokens[:at]
-    at = 1
-    while at < n - 1 and at < 3 and (len(tokens[at]) == 1 or (at == 1 and known[at])):
-        at += 1
-    return [known[i] or tokens[i] for i in range(at)], tokens[at:]
-
-
-# Words of organization names and what they stand for (English, Spanish, abbreviations).
-WORDS = {
-    "universidad": "universidad", "university": "universidad", "univ": "universidad", "autonoma": "autonoma", "autonomous": "autonoma", "auton": "autonoma", "auto": "autonoma",
-    "politecnica": "politecnica", "polytechnic": "politecnica", "politec": "politecnica", "poly": "politecnica", "instituto": "instituto", "institute": "instituto", "inst": "instituto",
-    "tecnologico": "tecnologico", "technology": "tecnologico", "tecnol": "tecnologico", "nacional": "nacional", "national": "nacional", "nac": "nacional", "nati": "nacional",
-    "salud": "salud", "health": "salud", "centro": "centro", "center": "centro", "centre": "centro", "ctr": "centro", "cent": "centro", "investigacion": "investigacion", "research": "investigacion", "invest": "investigacion",
-    "ecosistemas": "ecosistemas", "ecosystem": "ecosistemas", "ecosystems": "ecosistemas", "ecosist": "ecosistemas", "materiales": "materiales", "materials": "materiales", "mater": "materiales",
-    "hospital": "hospital", "hosp": "hospital", "regional": "regional", "reg": "regional", "regi": "regional", "consejo": "consejo", "council": "consejo", "cons": "consejo", "coun": "consejo",
-    "estatal": "estatal", "state": "estatal", "est": "estatal", "stat": "estatal", "ciencia": "ciencia", "science": "ciencia", "cienc": "ciencia", "colegio": "colegio", "college": "colegio", "col": "colegio",
-    "coll": "colegio", "cole": "colegio", "hospi": "hospital",
-}
-_WORD_SET = Lexicon(frozenset(w for w in WORDS if len(w) >= 5))
-# Words that head a unit of an organization.
-_UNITS = frozenset("campus cpus laboratorio lab escuela esc facultad fac unidad u departamento depto dept department school faculty".split())
-_JOINERS = _PARTICLES | frozenset("of for the el en in d n dde ed fe".split())
-_SHORT = {
-    ("autonoma", "universidad"): "ua", ("politecnica", "universidad"): "up", ("instituto", "tecnologico"): "it", ("instituto", "nacional", "salud"): "ins",
-    ("centro", "ecosistemas", "investigacion"): "cie", ("centro", "investigacion", "materiales"): "cim", ("hospital", "regional"): "hr", ("ciencia", "consejo", "estatal"): "cec", ("colegio",): "col",
-}
-
-
-@lru_cache(50_000)
-def _org_word(token: str) -> str | None:
-    if token in WORDS:
-        return WORDS[token]
-    if len(token) >= 5:
-        found = {WORDS[w] for w in _WORD_SET.near(token)}
-        if len(found) == 1:
-            return found.pop()
-    return None
-
-
-def organization(name: str) -> tuple[str, str, str]:
-    """Kind, place and acronym of a typed organization name; parts that are not there are empty.
-
-    Units (campus, laboratory, school and so on) drop out: an organization and its units are one.
+def fits(a: list[str], b: list[str]) -> bool:
+    """Whether two lists of name parts agree: as far as both go, equal or one the initial of the other."""
+    return all(x == y or (initial(x) and y.startswith(x)) or (initial(y) and x.startswith(y)) for x, y in zip(a, b))
+
+
+_ALIAS = re.compile(r"\(([^()\s]{2,})\)")
+_DOTTED = re.compile(r"\s*(?:[^\W\d_]\.){2,}\s*")
+_ACRONYM = re.compile(r"\s*([^\W\d_]{2,})(?:-(?=\w)|\s*$)")
+
+
+def organization_pieces(name: str) -> tuple[list[str], str, str]:
+    """Pieces of a typed organization name between commas (words joined by blanks), its acronym, and the acronym written in brackets behind it.
+
+    An acronym is a piece of dotted letters, or a word in capitals that is the whole piece or is
+    joined by a hyphen to what follows, where the name is not written in capitals throughout.
     """
     text = repair(name)
-    acronym = ""
-    if m := re.search(r"\(([^()\s]{2,})\)", text):
-        acronym, text = m.group(1), text[: m.start()] + text[m.end() :]
-    pieces = []
-    for piece in text.split(","):
-        first = re.split(r"[\s.]+", plain(piece).strip())
-        dotted = re.fullmatch(r"\s*(?:[A-Z]\.){2,}\s*", piece)
-        if dotted or (first and first[0] and not (first[0] in _UNITS and len(first) > 1 and first[1])):
-            pieces.append(piece)
-    text = " ".join(pieces)
-    if not acronym and (m := re.match(r"^\s*((?:[A-Z]\.){2,}|[A-Z]{3,}(?![a-z]))(?:\s*$|-)", text)):
-        if m.group(1).endswith(".") or text.strip() == m.group(1) or "-" in text:
-            acronym, text = m.group(1), text[m.end() :]
-    kind, place = set(), []
-    for raw in re.split(r"[\s\-–.]+", plain(text)):
-        token = re.sub(r"[^a-z]", "", raw)
-        if not token or token in _JOINERS:
+    alias = ""
+    if m := _ALIAS.search(text):
+        alias, text = plain(m.group(1)).replace(".", ""), text[: m.start()] + text[m.end() :]
+    pieces, acronym = [], ""
+    for piece in re.split(r"[,;]", text):
+        if not piece.strip():
             continue
-        word = _org_word(token)
-        if word:
-            kind.add(word)
-        elif len(token) > 3:
-            place.append(token)
-    return " ".join(sorted(kind)), " ".join(place), re.sub(r"[^a-z]", "", plain(acronym))
-
-
-def kind_of_acronym(acronym: str) -> str:
-    """Kind whose initials an acronym begins with, else empty."""
-    for kind, short in sorted(_SHORT.items(), key=lambda x: -len(x[1])):
-        if acronym.startswith(short):
-            return " ".join(kind)
-    return ""
-
-
-def acronym_fits(acronym: str, kind: str, place: str) -> bool:
-    """Whether an acronym is the initials of a kind followed by the beginning of a place."""
-    short = _SHORT.get(tuple(kind.split()), "".join(w[0] for w in kind.split()))
-    return bool(short) and acronym.startswith(short) and len(acronym) > len(short) and place.startswith(acronym[len(short) :])
+        rest = piece
+        if _DOTTED.fullmatch(piece):
+            acronym, rest = acronym or _NO_LETTER.sub("", plain(piece)), ""
+        elif (m := _ACRONYM.match(piece)) and m.group(1).isupper():
+            tail = piece[m.end() :]
+            if tail.strip() or not any(c.isupper() and w.isupper() and len(w) > 3 for w in re.split(r"[\s,;]+", text.replace(m.group(1), "", 1)) for c in w):
+                acronym, rest = acronym or plain(m.group(1)), tail
+        words = [w for raw in re.split(r"[\s\-–./]+", plain(rest)) if (w := _NO_LETTER.sub("", raw))]
+        if words:
+            pieces.append(" ".join(words))
+    return pieces, acronym, alias

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesela.llm import entities, linkage, packing, pairs, quality, terms, tokens
+from tesela.llm import entities, linkage, packing, pairs, quality, terms, tokens, variants
 from tesela.operators.current import current_rows
 from tesela.session import durable, table
 
@@ -65,9 +65,14 @@ def p10_found(spark: SparkSession, base: str) -> DataFrame:
     return p10_stats(spark, base).where(F.col("form") != "prose").select("doc_id", "form")
 
 
+def p1_members(spark: SparkSession, base: str) -> DataFrame:
+    """Every spelling (or profile id) with the entity it denotes, one row each."""
+    return entities.name_members(table(spark, base, "works"), table(spark, base, "author_profiles"), table(spark, base, "institutions"))
+
+
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
     """Pairs of spellings (or profile ids) of one person or organization."""
-    return entities.name_variants(table(spark, base, "works"), table(spark, base, "author_profiles"), table(spark, base, "institutions"))
+    return variants.cluster_pairs(durable(p1_members(spark, base), eager=True))
 
 
 def p6_pairs(spark: SparkSession, base: str) -> DataFrame:
@@ -122,7 +127,7 @@ p AS (SELECT ab.field_name, item_a, item_b, ca.n AS n_a, cb.n AS n_b, n_ab, n.n
 """
 
 QUERIES = {
-    "p1_found": p1_found,
+    "p1_found": p1_found, "p1_members": p1_members,
     "p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_pairs": p4_pairs,
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,

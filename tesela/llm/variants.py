@@ -1,321 +1,354 @@
 """Variant spellings of names (problem 1).
 
-Two rounds, both on weighted character n-gram vectors:
-
-1. Spellings of single words (surnames, places). Words meet the much more frequent ones within one
-   edit. The join is distributed and exact: every word posts itself and its variants without one
-   letter, postings meet, a check of one edit confirms a pair, and the cosine of 3-gram vectors
-   decides between equally frequent words.
-2. Whole names. Names whose repaired first surname and initial agree meet in small blocks, where
-   cosine similarities under compatibility (equal, initial of, or missing parts) are grouped by
-   average-linkage clustering; incompatible members never share a cluster.
+1. Spellings of single words. Words are vectors of weighted character n-grams; a distributed sparse
+   cosine join (``sparse``) lets every word meet those of which it may be a slip, and their relative
+   frequency decides.
+2. Short forms of given names are learned: a given name that nearly always stands with surnames that
+   another, more frequent one stands with too is taken as the other.
+3. Whole names. A name meets the fuller ones it is a shortened form of; what is still apart meets by
+   the cosine of whole-name vectors. Linked names are grouped by average-linkage clustering.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesela.llm.names import near
+from tesela.llm import names, sparse
 from tesela.session import durable
 
-RARE = 2  # what at most so many names hold is not guessed to be what an acronym stands for
 RATIO, CHANCE = 4, 1.25  # a slip, less so many chance occurrences, is at least so many times rarer than its word
-COSINE = 0.42  # of the vectors of words
-INNER = 0.4  # squared length of the 3-gram part of a vector; the rest is that of its two ends
-TOP_N = 5
-LINKAGE = 0.3  # mean cosine at which clusters still merge
+FAR_RATIO, FAR_LENGTH = 20, 8  # two edits are a slip in words of so many letters, at so much greater a ratio
+WORD_COSINE = {2: 0.3, 3: 0.2, 4: 0.3}  # of the 2-, 3- and 4-gram vectors of words; a swap leaves less of a short word's vector
+NAME_COSINE = 0.6
+ALIAS_SHARE, ALIAS_LEAST = 0.35, 3  # share and number of families in which a short form stands beside the full one
+ALIAS_CROWD = 50  # a family with so many given names says nothing about them: its weight is 0 by definition
+LINKAGE = 0.3  # mean similarity at which clusters still merge
 
 
-@lru_cache(200_000)
-def grams(word: str) -> tuple[str, ...]:
-    """Distinct 3-grams of a word with its ends marked."""
-    w = f"#{word}#"
-    return tuple(sorted({w[i : i + 3] for i in range(len(w) - 2)}))
-
+def may_be_slip(n_slip: Column, n_word: Column, ratio: float = RATIO) -> Column:
+    """Whether a spelling in ``n_slip`` names is rare enough, relative to one in ``n_word``, to be a slip of it."""
+    return (n_word > n_slip) & ((n_slip - CHANCE) * ratio <= n_word)
 
-def ends(word: str) -> list[str]:
-    """Long n-grams at both ends of a word: four letters, or three where the word has up to eight."""
-    out = [f"#{word[:4]}", f"{word[-4:]}#"] if len(word) >= 8 else []
-    return out + ([f"#{word[:3]}", f"{word[-3:]}#"] if len(word) <= 8 else [])
 
+def word_vectors(words: DataFrame) -> DataFrame:
+    """``id, space, size, n, features`` of ``space, word, n``: words of up to six letters by 2-grams, of five to nine by 3-grams, from nine on by 4-grams."""
+    size = F.length("word")
+    grams = F.filter(F.array(F.when(size <= 6, 2), F.when((size >= 5) & (size <= 9), 3), F.when(size >= 9, 4)), lambda x: x.isNotNull())
+    each = words.select("space", F.col("word").alias("id"), "n", F.explode(grams).alias("size"))
+    return each.withColumn("features", sparse.gram_features(F.col("id"), F.col("size"), F.col("space")))
 
-class GramWeights:
-    """Inverse document frequencies of 3-grams; at most 27**3 entries, whatever the data."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.counts, self.top = counts, math.log(2 + max(counts.values(), default=1))
+def slips(words: DataFrame) -> DataFrame:
+    """``space, word, fixed``: the word that each probable slip stands for. words: ``space, word, n``."""
+    vectors = word_vectors(words)
+    weights = sparse.feature_weights(vectors)
+    a, b = F.col("a"), F.col("b")
+    close = F.levenshtein(a["id"], b["id"], 2) >= 0
+    where = (a["space"] == b["space"]) & (a["size"] == b["size"]) & (F.abs(F.length(a["id"]) - F.length(b["id"])) <= 2) & may_be_slip(a["n"], b["n"]) & close
+    met = sparse.cosine_join(vectors, vectors.where(F.col("n") > 1), weights, F.element_at(F.create_map(*[F.lit(x) for kv in WORD_COSINE.items() for x in kv]), F.col("size")), where).select(a["space"].alias("space"), a["id"].alias("word"), b["id"].alias("fixed"), a["n"].alias("n"), b["n"].alias("n_fixed"), "cosine")
 
-    def vector(self, word: str) -> dict[str, float]:
-        """Unit vector of a word. 3-grams weigh by rarity and make up ``INNER`` of its squared length.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one = [names.near(x, y) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(one, pa.bool_())], [*batch.schema.names, "one_edit"])
 
-        Two words that share no end have a cosine of at most ``INNER``, which is under ``COSINE``:
-        posting the ends alone loses no pair of that cosine (some pairs within one edit are under it).
-        """
-        raw = {g: 1 + (self.top - math.log(1 + max(self.counts.get(g, 0), 1))) / self.top for g in grams(word)}
-        scale = math.sqrt(INNER / sum(w * w for w in raw.values()))
-        out = {g: w * scale for g, w in raw.items()}
-        long = ends(word)
-        return out | {g: math.sqrt((1 - INNER) / 2) if len(long) == 2 else math.sqrt((1 - INNER) / 4) for g in long}
+    checked = met.mapInArrow(run, "space string, word string, fixed string, n long, n_fixed long, cosine double, one_edit boolean")
+    far = (F.length("word") >= FAR_LENGTH) & (F.length("fixed") >= FAR_LENGTH) & may_be_slip(F.col("n"), F.col("n_fixed"), FAR_RATIO) & (F.col("n_fixed") >= FAR_RATIO * F.col("n"))
+    return checked.where(F.col("one_edit") | far).groupBy("space", "word").agg(F.max_by("fixed", F.struct("one_edit", "n_fixed", "cosine", "fixed")).alias("fixed"))
 
 
-def gram_weights(words: DataFrame) -> GramWeights:
-    """Gram counts over all words; the words hold letters a to z only, which bounds the table."""
-    marked = F.concat(F.lit("#"), "word", F.lit("#"))
-    every = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substr(marked, i, F.lit(3))))
-    counts = words.select(F.explode(every).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    return GramWeights({r["g"]: r["n"] for r in counts.collect()})
+def repair_words(words: DataFrame) -> DataFrame:
+    """``space, word, fixed`` for spellings that more frequent words explain; others do not appear.
 
+    words: ``space, word, n`` (names that have it); words of different spaces never meet. A word that
+    is two more frequent ones written together becomes both, with a blank between. A word whose
+    explanation is itself explained gets the explanation of that. Every word may be a slip and may
+    be what others are slips of: relative frequency decides, at every size.
+    """
+    words = words.where(F.length("word") >= 3)
+    size = F.length("word")
+    split = words.where(size >= 6).select("space", "word", "n", F.explode(F.sequence(F.lit(3), size - 3)).alias("cut"))
+    split = split.select("space", "word", "n", F.substr("word", F.lit(1), "cut").alias("left"), F.substr("word", F.col("cut") + 1).alias("right"))
+    counts = lambda name: words.select("space", F.col("word").alias(name), F.col("n").alias(f"n_{name}"))
+    less = F.least("n_left", "n_right")
+    halves = split.join(counts("left"), ["space", "left"]).where(may_be_slip(F.col("n"), F.col("n_left"))).join(counts("right"), ["space", "right"]).where(may_be_slip(F.col("n"), less))
+    joined = durable(halves.groupBy("space", "word").agg(F.max_by(F.concat_ws(" ", "left", "right"), F.struct(less, "left")).alias("fixed")), eager=True)
+    fixes = durable(joined.unionByName(slips(words.join(joined.select("space", "word"), ["space", "word"], "left_anti"))), eager=True)
+    while True:  # frequencies rise with every step, so this ends
+        each = fixes.select("space", "word", F.posexplode(F.split("fixed", " ")).alias("pos", "part"))
+        further = fixes.select("space", F.col("word").alias("part"), F.col("fixed").alias("next"))
+        if each.join(further, ["space", "part"]).isEmpty():
+            return fixes
+        parts = F.sort_array(F.collect_list(F.struct("pos", F.coalesce("next", "part").alias("part"))))
+        fixes = durable(each.join(further, ["space", "part"], "left").groupBy("space", "word").agg(F.concat_ws(" ", F.transform(parts, lambda x: x["part"])).alias("fixed")), eager=True)
 
-def cosine_join(queries: DataFrame, targets: DataFrame, weights: GramWeights, threshold: float = COSINE, top_n: int = TOP_N, length_gap: int | None = None) -> DataFrame:
-    """``query, target, cosine``: for every query word the ``top_n`` target words of at least ``threshold``.
 
-    ``length_gap`` leaves out targets whose length differs by more, where a later check would anyway.
+def given_aliases(parsed: DataFrame) -> DataFrame:
+    """``alias, name``: short and other forms of given names, learned from the surnames they stand with.
 
-    queries and targets have a column ``word``. Words meet by the heaviest entries of their vectors,
-    their ends (see ``GramWeights.vector``); an end that very many words share is a skewed join key,
-    which adaptive execution splits; a pair is emitted only at its first common end.
+    parsed: distinct ``given, family``. A given name is the vector of the pairs of surnames it stands
+    with; one whose vector lies to ``ALIAS_SHARE`` inside that of a more frequent one, over
+    ``ALIAS_LEAST`` pairs of surnames or more, is a form of it.
     """
-    shared = queries.sparkSession.sparkContext.broadcast(weights)
+    first, second = F.get("family", F.lit(0)), F.get("family", F.lit(1))
+    full = parsed.where((F.length(F.get("given", F.lit(0))) > 1) & (F.length(second) > 1)).select(F.get("given", F.lit(0)).alias("g"), F.concat_ws(" ", first, second).alias("f")).distinct()
+    total = full.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    crowd = full.groupBy("f").agg(F.collect_set("g").alias("gs")).where(F.size("gs").between(2, ALIAS_CROWD - 1))
+    pairs = crowd.select(F.explode("gs").alias("alias"), "gs").select("alias", F.explode("gs").alias("name")).where(F.col("alias") != F.col("name")).groupBy("alias", "name").agg(F.count(F.lit(1)).alias("both"))
+    n = lambda x: total.select(F.col("g").alias(x), F.col("n").alias(f"n_{x}"))
+    near = pairs.where(F.col("both") >= ALIAS_LEAST).join(n("alias"), "alias").join(n("name"), "name")
+    kept = near.where((F.col("n_name") > F.col("n_alias")) & (F.col("both") >= ALIAS_SHARE * F.col("n_alias")))
+    return kept.groupBy("alias").agg(F.max_by("name", F.struct("both", "n_name", "name")).alias("name"))
 
-    def posted(df: DataFrame, name: str) -> DataFrame:
-        w, n = F.col("word"), F.length("word")
-        four = F.array(F.concat(F.lit("#"), F.substr(w, F.lit(1), F.lit(4))), F.concat(F.substr(w, n - 3, F.lit(4)), F.lit("#")))
-        three = F.array(F.concat(F.lit("#"), F.substr(w, F.lit(1), F.lit(3))), F.concat(F.substr(w, n - 2, F.lit(3)), F.lit("#")))
-        keys = F.when(n > 8, four).when(n < 8, three).otherwise(F.concat(four, three))
-        return df.select(F.explode(keys).alias("g"), w.alias(name))
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vector, tips = lru_cache(100_000)(shared.value.vector), lru_cache(100_000)(ends)
+def split_names(typed: DataFrame, nicknames: DataFrame | None = None) -> DataFrame:
+    """Adds ``given``, ``family`` and their signature ``sig`` to typed names of persons ``name``; a null or letterless name drops out.
+
+    ``nicknames`` (``alias, name``) may add known short forms to those that are learned.
+    """
+    columns = typed.columns
+    strings = typed.select("name").where(F.col("name").isNotNull()).distinct()
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [names.person_tokens(x) for x in batch.column(0).to_pylist()]
+            kinds = (pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[i] for x in out], pa.list_(k)) for i, k in enumerate(kinds)]], ["name", "words", "sides", "caps"])
+
+    split = durable(strings.mapInArrow(tokens, "name string, words array<string>, sides array<int>, caps array<int>").where(F.size("words") > 0), eager=True)
+    each = split.select("name", F.posexplode(F.arrays_zip("words", "sides", "caps")).alias("pos", "t")).select("name", "pos", F.col("t.words").alias("word"), F.col("t.sides").alias("side"), F.col("t.caps").alias("caps"))
+    one = lambda c: F.count(F.when(c, 1))
+    words = durable(each.groupBy("word").agg(F.count(F.lit(1)).alias("n"), one(F.col("side") == 0).alias("l"), one(F.col("side") == 1).alias("r"), one(F.col("caps") == 0).alias("t")).withColumn("space", F.lit("person")), eager=True)
+    fixes = repair_words(words.select("space", "word", "n"))
+    parts = words.select("word").join(fixes.select("word", "fixed"), "word", "left").select("word", F.posexplode(F.split(F.coalesce("fixed", "word"), " ")).alias("at", "part"))
+    known = words.select(F.col("word").alias("part"), "l", "r", "t")
+    table = parts.join(known, "part", "left").groupBy("word").agg(F.sort_array(F.collect_list(F.struct("at", "part", F.coalesce("l", F.lit(0)).cast("int").alias("l"), F.coalesce("r", F.lit(0)).cast("int").alias("r"), F.coalesce("t", F.lit(0)).cast("int").alias("t")))).alias("parts"))
+    gathered = each.join(durable(table, eager=True), "word").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("pos", "side", "caps", "parts"))).alias("tokens"))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for g, q, t in zip(*[c.to_pylist() for c in batch.columns]):
-                other = tips(t)
-                for e in tips(q):
-                    if e in other:
-                        break
-                if e != g:
-                    continue
-                a, b = vector(q), vector(t)
-                total = sum(z * b[y] for y, z in a.items() if y in b)
-                if total >= threshold:
-                    for c, v in zip(out, (q, t, total)):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], ["query", "target", "cosine"])
-
-    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small postings may meet in many pairs: no coalescing
-    met = posted(queries, "query").repartition(n, "g").join(posted(targets, "target").repartition(n, "g"), "g").where(F.col("query") != F.col("target")).select("g", "query", "target")
-    if length_gap is not None:
-        met = met.where(F.abs(F.length("query") - F.length("target")) <= length_gap)
-    found = met.mapInArrow(verify, "query string, target string, cosine double")
-    best = Window.partitionBy("query").orderBy(F.desc("cosine"), "target")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_n).drop("rank")
-
-
-def one_edit_join(words: DataFrame, weights: GramWeights) -> DataFrame:
-    """``query, target, n_target, cosine``: every word with every one within one edit that it may be a slip of. words: ``word, n``.
-
-    Words meet by themselves and their variants without one letter: two words within one insertion,
-    deletion, substitution or swap of neighbours have one in common at every length, and few words
-    share one, so no key is hot. A pair may appear more than once.
+            out = []
+            for tokens_ in batch.column(1).to_pylist():
+                out.append(names.parse_person([(t["side"], t["caps"], [(p["part"], p["l"], p["r"], p["t"]) for p in t["parts"]]) for t in tokens_]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[i] for x in out], pa.list_(pa.string())) for i in (0, 1)]], ["name", "given", "family"])
+
+    parsed = durable(gathered.mapInArrow(parse, "name string, given array<string>, family array<string>"), eager=True)
+    aliases = given_aliases(parsed.select("given", "family").distinct())
+    if nicknames is not None:
+        aliases = aliases.unionByName(nicknames.select("alias", "name")).groupBy("alias").agg(F.max("name").alias("name"))
+    aliases = aliases.withColumnRenamed("name", "formal")
+    first = F.get("given", F.lit(0))
+    formal = parsed.withColumn("alias", first).join(aliases, "alias", "left")
+    given = F.when(F.col("formal").isNull(), F.col("given")).otherwise(F.transform("given", lambda g, i: F.when(i == 0, F.col("formal")).otherwise(g)))
+    done = formal.select("name", given.alias("given"), "family").withColumn("sig", F.concat(F.concat_ws(" ", "given"), F.lit("|"), F.concat_ws(" ", "family")))
+    return typed.join(done, "name").select(*columns, "given", "family", "sig")
+
+
+def complete(given: Column, family: Column) -> Column:
+    """Whether a name has a first given name and two surnames in full."""
+    return F.coalesce((F.length(F.get(given, F.lit(0))) > 1) & (F.length(F.get(family, F.lit(1))) > 1), F.lit(False))
+
+
+def fuller_names(sigs: DataFrame) -> DataFrame:
+    """``sig, fuller``: for every signature that is a shortened form of others, the complete and most frequent of them.
+
+    sigs: distinct ``sig, given, family, n``. Every signature posts its shortened forms (their number
+    depends on its parts only) and signatures meet the forms by equality: no group of namesakes is
+    compared pairwise, however large.
     """
-    shared = words.sparkSession.sparkContext.broadcast(weights)
-    w = F.col("word")
-    without = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))
-    posted = lambda name: words.select(F.explode(F.array_distinct(F.concat(F.array(w), without))).alias("key"), w.alias(name), F.col("n").alias(f"n_{name}"))
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vector = lru_cache(100_000)(shared.value.vector)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [(q, t, n) for q, t, n in zip(*[c.to_pylist() for c in batch.columns]) if near(q, t)]
-            cosines = [sum(z * b[y] for y, z in vector(q).items() if y in b) for q, t, _ in kept for b in (vector(t),)]
-            columns = [[x[i] for x in kept] for i in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(cosines, pa.float64())], ["query", "target", "n_target", "cosine"])
+            out = [names.forms(g, f) for g, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            at = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in out]))
+            yield pa.RecordBatch.from_arrays([pa.array([x for y in out for x in y], pa.string()), batch.column(0).take(at), batch.column(3).take(at), batch.column(4).take(at)], ["form", "sig", "n", "complete"])
 
-    met = posted("query").join(posted("target"), "key").where((F.col("query") != F.col("target")) & may_be_slip(F.col("n_query"), F.col("n_target")))
-    return met.select("query", "target", "n_target").mapInArrow(verify, "query string, target string, n_target long, cosine double")
+    rows = sigs.select("sig", "given", "family", "n", complete(F.col("given"), F.col("family")).alias("complete")).mapInArrow(run, "form string, sig string, n long, complete boolean")
+    best = rows.groupBy("form").agg(F.max_by("sig", F.struct("complete", "n", "sig")).alias("fuller"))
+    return sigs.select("sig").join(best.withColumnRenamed("form", "sig"), "sig")
 
 
-def may_be_slip(n_slip: Column, n_word: Column) -> Column:
-    """Whether a spelling in ``n_slip`` names is rare enough, relative to one in ``n_word``, to be a slip of it."""
-    return (n_word > n_slip) & ((n_slip - CHANCE) * RATIO <= n_word)
+def roots(links: DataFrame) -> DataFrame:
+    """``sig, root`` of links to fuller names, followed to their ends; every step leads to a name with more parts."""
+    links = durable(links.select("sig", F.col("fuller").alias("root")), eager=True)
+    while True:
+        further = links.select(F.col("sig").alias("root"), F.col("root").alias("next"))
+        if links.join(further, "root").isEmpty():
+            return links
+        links = durable(links.join(further, "root", "left").select("sig", F.coalesce("next", "root").alias("root")), eager=True)
 
 
-def repair_words(words: DataFrame) -> DataFrame:
-    """``word, fixed`` for spellings that a more frequent word explains.
+def close_names(sigs: DataFrame) -> DataFrame:
+    """``a, b, cosine``: complete names whose whole-name vectors are close and that differ in one surname by a probable slip.
 
-    words: ``word, n`` (names that have it). Every word may be a slip and may be what others are
-    slips of; their relative frequency decides (``may_be_slip``), so it holds at every size. A word
-    links to the most frequent one within one edit, of equals to that of greatest cosine; a long one
-    that is two words written together becomes both, with a blank between. A word whose explanation
-    is itself a slip gets the explanation of that. Words without an explanation do not appear.
+    sigs: ``sig, given, family, n`` and ``counts`` of the surnames. Catches what the words alone do not
+    decide: two spellings that are equally rare, but stand in otherwise equal names.
     """
-    words = words.where(F.col("word").rlike("^[a-z]{3,}$"))
-    counts = lambda name: words.select(F.col("word").alias(name), F.col("n").alias(f"n_{name}"))
-    close = one_edit_join(words, gram_weights(words))
-    slips = close.groupBy(F.col("query").alias("word")).agg(F.max_by("target", F.struct("n_target", "cosine", "target")).alias("fixed"), F.lit(2).alias("rank"))
-    cuts = F.sequence(F.lit(5), F.length("word") - 5)
-    split = words.where(F.length("word") >= 10).select("word", "n", F.explode(cuts).alias("cut")).select("word", "n", F.substr("word", F.lit(1), "cut").alias("a"), F.substr("word", F.col("cut") + 1).alias("b"))
-    less = F.least("n_a", "n_b")
-    joined = split.join(counts("a"), "a").join(counts("b"), "b").where(may_be_slip(F.col("n"), less)).groupBy("word").agg(F.max_by(F.concat_ws(" ", "a", "b"), F.struct(less, "a")).alias("fixed"), F.lit(1).alias("rank"))
-    fixes = durable(slips.unionByName(joined).groupBy("word").agg(F.min_by("fixed", "rank").alias("fixed")), eager=True)
-    while True:  # frequencies rise with every step, so this ends
-        each = fixes.select("word", F.posexplode(F.split("fixed", " ")).alias("pos", "part"))
-        further = fixes.select(F.col("word").alias("part"), F.col("fixed").alias("next"))
-        if each.join(further, "part").isEmpty():
-            return fixes
-        parts = F.sort_array(F.collect_list(F.struct("pos", F.coalesce("next", "part").alias("part"))))
-        fixes = durable(each.join(further, "part", "left").groupBy("word").agg(F.concat_ws(" ", F.transform(parts, lambda x: x["part"])).alias("fixed")), eager=True)
+    part = lambda i, tag: sparse.gram_features(F.get("family", F.lit(i)), 3, F.lit(tag))
+    whole = sigs.where(complete(F.col("given"), F.col("family"))).select(F.col("sig").alias("id"), F.get("given", F.lit(0)).alias("g"), F.get("family", F.lit(0)).alias("x"), F.get("family", F.lit(1)).alias("y"), "n", F.array_distinct(F.concat(sparse.gram_features(F.get("given", F.lit(0)), 3, F.lit("g")), part(0, "s"), part(1, "s"))).alias("features"))
+    a, b = F.col("a"), F.col("b")
+    slip = lambda p, q: ((a[p] == b[p]) & (a[q] != b[q]) & (F.levenshtein(a[q], b[q], 2) >= 0) & (F.least(F.length(a[q]), F.length(b[q])) >= 5))
+    where = (a["id"] < b["id"]) & (a["g"] == b["g"]) & (slip("x", "y") | slip("y", "x"))
+    return sparse.cosine_join(whole, whole, sparse.feature_weights(whole), NAME_COSINE, where).select(a["id"].alias("a"), b["id"].alias("b"), "cosine")
 
 
-def repair_names(names: DataFrame) -> DataFrame:
-    """``names`` with the words of ``family`` repaired. names: ``key, given, family`` (arrays) and more; keys unique.
+def average_clusters(sizes: list[float], pairs: Iterator[tuple[int, int, float]], threshold: float, absent: bool = True) -> list[list[int]]:
+    """Average-linkage clusters of members with ``sizes`` (how often each counts).
 
-    The repairs, which are few, meet the names by word; frequent words have none.
+    pairs: two members and their similarity, negative where they cannot be one. Pairs that are not
+    there count as 0, or are left out of the means if ``absent`` is false. The two clusters with the
+    greatest mean similarity merge while it reaches the threshold; clusters with an impossible pair
+    never merge. A heap holds the candidates, so the work grows with the pairs given.
     """
-    each = names.select("key", F.posexplode("family").alias("pos", "word"))
-    words = durable(each.groupBy("word").agg(F.count(F.lit(1)).alias("n")), eager=True)
-    by_name = each.join(repair_words(words), "word").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("pos", "fixed"))).alias("fixes"))
-    new = F.flatten(F.transform("family", lambda w, i: F.split(F.coalesce(F.get(F.map_values(F.map_filter("fixes", lambda k, _: k == i)), F.lit(0)), w), " ")))
-    return names.join(by_name, "key", "left").withColumn("family", F.when(F.col("fixes").isNull(), F.col("family")).otherwise(new)).drop("fixes")
+    members = {i: [i] for i in range(len(sizes))}
+    mass = dict(enumerate(sizes))
+    near: dict[int, dict[int, tuple[float, float]]] = {i: {} for i in members}
+    for i, j, s in pairs:
+        near[i][j] = near[j][i] = (s * mass[i] * mass[j] if s >= 0 else -math.inf, mass[i] * mass[j])
+    mean = lambda i, j: near[i][j][0] / (mass[i] * mass[j] if absent else near[i][j][1])
+    heap = [(-m, i, j) for i, x in near.items() for j in x if i < j and (m := mean(i, j)) >= threshold]
+    heapq.heapify(heap)
+    while heap:
+        negative, i, j = heapq.heappop(heap)
+        if i not in members or j not in members or j not in near[i] or -mean(i, j) != negative:
+            continue
+        if len(near[i]) < len(near[j]):
+            i, j = j, i
+        members[i] += members.pop(j)
+        mass[i] += mass.pop(j)
+        gone = near.pop(j)
+        for k, (s, n) in gone.items():
+            del near[k][j]
+            if k != i:
+                t, m = near[i].get(k, (0.0, 0.0))
+                near[i][k] = near[k][i] = (s + t, n + m)
+        for k in near[i] if absent else gone:
+            if k != i and (m := mean(i, k)) >= threshold:
+                heapq.heappush(heap, (-m, min(i, k), max(i, k)))
+    return list(members.values())
+
+
+def linkage_groups(nodes: DataFrame, edges: DataFrame, labels: DataFrame, threshold: float, absent: bool = True) -> DataFrame:
+    """``node, cluster``: average-linkage clusters inside the components of a graph; a cluster is named by its least node.
+
+    nodes: ``node, size``; edges: ``a, b, weight`` (negative: not one); labels: ``node, component``.
+    """
+    tagged = nodes.join(labels, "node").select("component", F.lit(0).alias("tag"), F.col("node").alias("a"), F.lit(None).cast("string").alias("b"), F.col("size").cast("double").alias("v"))
+    links = edges.join(labels.withColumnRenamed("node", "a"), "a").select("component", F.lit(1).alias("tag"), "a", "b", F.col("weight").alias("v"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        component, found, sizes, pairs = None, [], [], []
+        held: list[tuple[str, str]] = []
 
-def _part_fits(a: str, b: str) -> bool:
-    """Whether two name parts agree: one missing, one the initial of the other, or equal but for one edit."""
-    if not a or not b:
-        return True
-    if len(a) == 1 or len(b) == 1:
-        return a[0] == b[0]
-    return a == b or (min(len(a), len(b)) >= 5 and near(a, b))
+        def done() -> None:
+            at = {x: i for i, x in enumerate(found)}
+            for group in average_clusters(sizes, ((at[a], at[b], w) for a, b, w in pairs if b in at), threshold, absent):
+                least = min(found[i] for i in group)
+                held.extend((found[i], least) for i in group)
 
+        for batch in batches:
+            for c, tag, a, b, v in zip(*[x.to_pylist() for x in batch.columns]):
+                if c != component:
+                    if found:
+                        done()
+                    component, found, sizes, pairs = c, [], [], []
+                if tag:
+                    pairs.append((a, b, v))
+                else:
+                    found.append(a)
+                    sizes.append(v)
+            if len(held) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*held)], ["node", "cluster"])
+                held.clear()
+        if found:
+            done()
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*held)], ["node", "cluster"])
+
+    return tagged.unionByName(links).repartition("component").sortWithinPartitions("component", "tag").mapInArrow(run, "node string, cluster string")
+
+
+def name_vector(given: list[str], family: list[str]) -> dict[str, float]:
+    """Weighted n-grams of a whole name: initials and the 3-grams of its parts, surnames twice as heavy."""
+    out: dict[str, float] = {}
+    for parts, weight in ((given, 1.0), (family, 2.0)):
+        for p in parts:
+            marked = f"#{p}#"
+            grams = {marked[:2]} | ({marked[i : i + 3] for i in range(len(marked) - 2)} if len(p) > 1 else set())
+            for g in grams:
+                out[g] = out.get(g, 0.0) + weight / len(grams)
+    norm = math.sqrt(sum(v * v for v in out.values())) or 1.0
+    return {g: v / norm for g, v in out.items()}
+
+
+def vector_cosine(a: dict[str, float], b: dict[str, float]) -> float:
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    return sum(v * large[g] for g, v in small.items() if g in large)
+
+
+def average_linkage(grouped: DataFrame) -> DataFrame:
+    """``sig, cluster`` of ``label, sig, given, family``: the members of every label by average linkage of their whole-name vectors.
+
+    A label holds a name, its shortened forms and close spellings, so its size depends on the parts
+    of one name and not on the rows. A cluster is named by its least signature.
+    """
 
-def _padded(parts: list[str]) -> tuple[str, str]:
-    return (parts[0] if parts else "", parts[1] if len(parts) > 1 else "")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label, members = None, []
 
+        def done() -> list[tuple[str, str]]:
+            if len(members) == 1:
+                return [(members[0][0], members[0][0])]
+            vectors = [name_vector(g, f) for _, g, f in members]
 
-class Name:
-    """A name in a block: its parts, attributes and n-gram vector."""
+            def similarity(i: int, j: int) -> float:
+                (_, g, f), (_, h, e) = members[i], members[j]
+                if not names.fits(g, h):
+                    return -1.0
+                c = vector_cosine(vectors[i], vectors[j])
+                return c if names.fits(f, e) or c >= NAME_COSINE else -1.0
 
-    __slots__ = ("attributes", "family", "given", "key", "norm", "vector")
+            n = len(members)
+            groups = average_clusters([1.0] * n, ((i, j, similarity(i, j)) for i in range(n) for j in range(i + 1, n)), LINKAGE)
+            return [(members[i][0], least) for g in groups for least in (min(members[i][0] for i in g),) for i in g]
 
-    def __init__(self, key: str, given: list[str], family: list[str], attributes: dict[str, str | None]):
-        self.key, self.given, self.family, self.attributes = key, _padded(given), _padded(family), attributes
-        self.vector = Counter(g for part in (*given, *family) for g in (grams(part) if len(part) > 1 else (part,)))
-        self.norm = math.sqrt(sum(v * v for v in self.vector.values())) or 1.0
+        held: list[tuple[str, str]] = []
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if row[0] != label:
+                    if members:
+                        held += done()
+                    label, members = row[0], []
+                members.append(row[1:])
+                if len(held) > 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*held)], ["sig", "cluster"])
+                    held = []
+        if members:
+            held += done()
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*held)], ["sig", "cluster"])
 
+    return grouped.select("label", "sig", "given", "family").repartition("label").sortWithinPartitions("label").mapInArrow(run, "sig string, cluster string")
 
-def similarity(a: Name, b: Name, rules: dict[str, str]) -> float:
-    """Cosine of the n-gram vectors; -1 if the names cannot be one, 0 if nothing speaks for it.
 
-    rules name attributes: ``identify`` (equal: one entity; both there and different: not one),
-    ``agree`` (both there and different: not one), ``suggest`` (only equality counts). Where there
-    are rules, the cosine counts only if some attribute agrees or both names are complete.
-    """
-    if not all(map(_part_fits, a.given, b.given)) or not all(map(_part_fits, a.family, b.family)):
-        return -1.0
-    support = not rules or all(len(x.given[0]) > 1 and len(x.family[1]) > 1 for x in (a, b))
-    for name, rule in rules.items():
-        x, y = a.attributes.get(name), b.attributes.get(name)
-        if x and y:
-            if x != y:
-                if rule == "suggest":
-                    continue
-                return -1.0
-            support = True
-            if rule == "identify":
-                return 1.0
-    if not support:
-        return 0.0
-    small, large = (a, b) if len(a.vector) < len(b.vector) else (b, a)
-    return sum(v * large.vector[g] for g, v in small.vector.items() if g in large.vector) / (a.norm * b.norm)
-
-
-def average_linkage(names: list[Name], rules: dict[str, str], threshold: float = LINKAGE) -> list[list[int]]:
-    """Clusters of indexes: the two with the greatest mean similarity merge while it reaches the threshold and no pair is incompatible."""
-    clusters: dict[int, list[int]] = {i: [i] for i in range(len(names))}
-    total: dict[tuple[int, int], float] = {}
-    for i in range(len(names)):
-        for j in range(i + 1, len(names)):
-            if (s := similarity(names[i], names[j], rules)) >= 0:
-                total[i, j] = s
-    while total:
-        (i, j), best = max(((p, s / (len(clusters[p[0]]) * len(clusters[p[1]]))) for p, s in total.items()), key=lambda x: (x[1], -x[0][0], -x[0][1]))
-        if best < threshold:
-            break
-        del total[i, j]
-        for k in clusters:
-            if k in (i, j):
-                continue
-            a, b = total.pop((min(i, k), max(i, k)), None), total.pop((min(j, k), max(j, k)), None)
-            if a is not None and b is not None:
-                total[min(i, k), max(i, k)] = a + b
-        clusters[i] += clusters.pop(j)
-    return list(clusters.values())
-
-
-def cluster_names(names: DataFrame, rules: dict[str, str]) -> DataFrame:
-    """``key, cluster`` of names with repaired words. names: ``key, given, family`` and the attributes of ``rules``.
-
-    Blocks share the first surname, the initial of the first given name and the initial of the
-    second surname. Names without a second surname enter every such block of theirs (at most 27)
-    and stay with the cluster they fit best, so a frequent surname and initial do not form one
-    large group. A cluster is named by its least key.
-    """
-    attributes = list(rules)
-    base = names.where(F.size("family") > 0).select("key", "given", "family", *attributes, F.get("family", F.lit(0)).alias("s1"), F.coalesce(F.substr(F.get("given", F.lit(0)), F.lit(1), F.lit(1)), F.lit("")).alias("g"))
-    second = F.substr(F.get("family", F.lit(1)), F.lit(1), F.lit(1))
-    base = base.withColumn("s2", second)
-    whole = base.where(F.col("s2").isNotNull())
-    blocks = whole.groupBy("s1", "g").agg(F.collect_set("s2").alias("s2s"))
-    partial = base.where(F.col("s2").isNull()).drop("s2").join(blocks, ["s1", "g"], "left").withColumn("s2", F.explode(F.coalesce("s2s", F.array(F.lit(""))))).drop("s2s")
-    placed = whole.unionByName(partial)
-    columns = ["s1", "g", "s2", "key", "given", "family", *attributes]
+def cluster_names(sigs: DataFrame) -> DataFrame:
+    """``sig, cluster`` of distinct signatures ``sig, given, family, n``."""
+    from tesela.operators.networks import components
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, members = None, []
-
-        def done() -> tuple[list, ...]:
-            out: tuple[list, ...] = ([], [], [], [])
-            for group in average_linkage(members, rules) if len(members) > 1 else [[0]]:
-                cluster = min(members[i].key for i in group)
-                full = [i for i in group if members[i].family[1]]
-                for i in group:
-                    others = [max(similarity(members[i], members[j], rules), 0.0) for j in full if j != i]
-                    for c, v in zip(out, (members[i].key, cluster, bool(full), sum(others) / len(others) if others else 0.0)):
-                        c.append(v)
-            return out
-
-        def batch_of(rows: tuple[list, ...]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.bool_()), pa.array(rows[3], pa.float64())], ["key", "cluster", "full", "score"])
-
-        held: tuple[list, ...] = ([], [], [], [])
-        for batch in batches:
-            data = [c.to_pylist() for c in batch.columns]
-            for row in zip(*data):
-                if row[:3] != block:
-                    if members:
-                        for c, v in zip(held, done()):
-                            c += v
-                        if len(held[0]) > 10_000:
-                            yield batch_of(held)
-                            held = ([], [], [], [])
-                    block, members = row[:3], []
-                members.append(Name(row[3], row[4], row[5], dict(zip(attributes, row[6:]))))
-        if members:
-            for c, v in zip(held, done()):
-                c += v
-        if held[0]:
-            yield batch_of(held)
-
-    ordered = placed.select(*columns).repartition("s1", "g", "s2").sortWithinPartitions("s1", "g", "s2", "key")
-    found = ordered.mapInArrow(run, "key string, cluster string, full boolean, score double")
-    return found.groupBy("key").agg(F.max(F.struct("full", "score", "cluster")).alias("best")).select("key", F.col("best.cluster").alias("cluster"))
+    links = roots(fuller_names(sigs))
+    tops = sigs.join(links.select("sig"), "sig", "left_anti")
+    close = durable(close_names(tops), eager=True)
+    ends = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    groups = components(close.select("a", "b", F.col("cosine").alias("weight")), ends) if not close.isEmpty() else ends.withColumn("component", F.col("node"))
+    label = sigs.join(links, "sig", "left").withColumn("top", F.coalesce("root", "sig")).join(groups.select(F.col("node").alias("top"), "component"), "top", "left").withColumn("label", F.coalesce("component", "top"))
+    return average_linkage(label)
 
 
 def cluster_pairs(members: DataFrame) -> DataFrame:
