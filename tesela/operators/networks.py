@@ -97,20 +97,22 @@ def statistics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return one.select("n_nodes", "n_edges", (F.col("n_nodes") - F.col("n")).alias("n_isolates"), F.round(2 * F.col("n_edges") / (n * (n - 1)), 8).alias("density"), F.round(F.try_divide(3.0 * F.col("triangles"), F.col("w")), 8).alias("transitivity"))
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
-    """``node, component``: the least node name reachable. Labels spread and jump (pointer doubling); each round is checkpointed."""
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, component``: the least node name reachable.
+
+    Labels spread along edges and jump (pointer doubling) until none moves, however deep the graph
+    is; each round is checkpointed.
+    """
     labels = durable(nodes.select("node", F.col("node").alias("component")), eager=True)
     both = durable(both_ways(edges).select("node", "other"), eager=True)
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("m"))
-        step = labels.join(near, "node", "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
+        step = labels.join(near, "node", "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"), F.col("component").alias("old"))
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        new = durable(step.join(jump, "component", "left").select("node", F.least("component", F.coalesce("up", "component")).alias("component")), eager=True)
-        moved = new.join(labels.withColumnRenamed("component", "old"), "node").where(F.col("old") != F.col("component")).limit(1).count()
-        labels = new
-        if not moved:
-            break
-    return labels
+        new = durable(step.join(jump, "component", "left").select("node", F.least("component", F.coalesce("up", "component")).alias("component"), "old"), eager=True)
+        labels = new.select("node", "component")
+        if new.where(F.col("old") != F.col("component")).isEmpty():
+            return labels
 
 
 def communities(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, rounds: int = 8, levels: int = 2) -> DataFrame:
