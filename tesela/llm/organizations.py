@@ -74,7 +74,7 @@ def kinds(named: DataFrame) -> DataFrame:
     shown = heads.select(F.col("head").alias("id"), "n", "places", grams.alias("grams"), F.concat(grams, F.array_distinct(F.transform("places", lambda p: sparse.hashed(F.lit("place"), p)))).alias("all"))
     both = durable(shown.select("id", "n", "places", "grams", F.array_distinct("all").alias("features")), eager=True)
     weights = sparse.feature_weights(both)
-    met = sparse.cosine_join(both, both, weights, HEAD_COSINE, F.col("a.id") < F.col("b.id"))
+    met = sparse.cosine_join(both, both, weights, HEAD_COSINE, F.col("a.id") < F.col("b.id"), lambda x: F.array_distinct(F.concat(F.col(f"{x}.grams"), F.transform(f"{x}.places", lambda p: sparse.hashed(F.lit("place"), p)))))
     common = F.size(F.array_intersect("a.places", "b.places"))
     least, most = F.least(F.size("a.places"), F.size("b.places")), F.greatest(F.size("a.places"), F.size("b.places"))
     chance = F.least(most / n_places, F.lit(0.9))

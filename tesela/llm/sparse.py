@@ -7,7 +7,7 @@ feature among the heaviest ones of both (the prefix filter), so only those are p
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,10 +82,11 @@ def posted(vectors: DataFrame, weights: np.ndarray) -> DataFrame:
     return vectors.mapInArrow(run, f"{schema}, feature int")
 
 
-def cosine_join(left: DataFrame, right: DataFrame, weights: np.ndarray, threshold: float | Column, where: Column, top_n: int | None = None) -> DataFrame:
+def cosine_join(left: DataFrame, right: DataFrame, weights: np.ndarray, threshold: float | Column, where: Column, features: Callable[[str], Column], top_n: int | None = None) -> DataFrame:
     """Pairs of rows whose vectors have a cosine of at least ``threshold``: ``a``, ``b`` (structs of the rows) and ``cosine``.
 
-    Both sides have ``id`` and ``features``; a threshold that is a column must be equal on both sides
+    Both sides have ``id`` and ``features``, which do not travel with the postings: ``features`` makes
+    them again from the columns of ``a`` or ``b`` for the pairs that met. A threshold that is a column must be equal on both sides
     of all pairs that ``where`` admits. ``where`` is a condition on ``a`` and ``b`` that is checked
     while postings meet, before any cosine is taken. A feature that very many vectors post is a
     skewed key, which adaptive execution splits. Exact: no pair at the threshold that ``where``
@@ -97,22 +98,22 @@ def cosine_join(left: DataFrame, right: DataFrame, weights: np.ndarray, threshol
 
     def side(df: DataFrame, name: str) -> DataFrame:
         least = F.lit(threshold) if isinstance(threshold, float) else threshold
-        rows = posted(df.withColumns({"whole": F.col("features"), "least": least.cast("double")}), weights)
-        return rows.select("feature", F.struct(*[c for c in df.columns if c != "features"], "whole", "least").alias(name)).repartition(n, "feature")
+        rows = posted(df.withColumn("least", least.cast("double")), weights)
+        return rows.select("feature", F.struct(*[c for c in df.columns if c != "features"], "least").alias(name)).repartition(n, "feature")
 
     met = side(left, "a").join(side(right, "b"), "feature").where((F.col("a.id") != F.col("b.id")) & where)
-    pairs = met.select("a", "b", F.col("a.id").alias("ai"), F.col("b.id").alias("bi")).dropDuplicates(["ai", "bi"])
+    pairs = met.select("a", "b", F.col("a.id").alias("ai"), F.col("b.id").alias("bi")).dropDuplicates(["ai", "bi"]).select("a", "b", features("a").alias("x"), features("b").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c = cosine(batch.column(0).field("whole"), batch.column(1).field("whole"), shared.value)
+            c = cosine(batch.column(2), batch.column(3), shared.value)
             keep = pa.array(c >= np.asarray(batch.column(0).field("least")))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(c).filter(keep)], ["a", "b", "cosine"])
 
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
-    found = pairs.select("a", "b").mapInArrow(run, f"a {kinds['a']}, b {kinds['b']}, cosine double")
+    found = pairs.mapInArrow(run, f"a {kinds['a']}, b {kinds['b']}, cosine double")
     if top_n is None:
         return found
     best = Window.partitionBy("a.id").orderBy(F.desc("cosine"), "b.id")

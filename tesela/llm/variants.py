@@ -25,8 +25,8 @@ from tesela.session import durable
 
 RATIO, CHANCE = 4, 1.25  # a slip, less so many chance occurrences, is at least so many times rarer than its word
 FAR_RATIO, FAR_LENGTH = 20, 8  # two edits are a slip in words of so many letters, at so much greater a ratio
-WORD_COSINE = {2: 0.3, 3: 0.2, 4: 0.3}  # of the 2-, 3- and 4-gram vectors of words; a swap leaves less of a short word's vector
-NAME_COSINE = 0.6
+WORD_COSINE = {2: 0.15, 3: 0.2, 4: 0.3}  # of the 2-, 3- and 4-gram vectors of words; a swap leaves less of a short word's vector
+NAME_COSINE = 0.65
 ALIAS_SHARE, ALIAS_LEAST = 0.35, 3  # share and number of families in which a short form stands beside the full one
 ALIAS_CROWD = 50  # a family with so many given names says nothing about them: its weight is 0 by definition
 LINKAGE = 0.3  # mean similarity at which clusters still merge
@@ -52,7 +52,7 @@ def slips(words: DataFrame) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     close = F.levenshtein(a["id"], b["id"], 2) >= 0
     where = (a["space"] == b["space"]) & (a["size"] == b["size"]) & (F.abs(F.length(a["id"]) - F.length(b["id"])) <= 2) & may_be_slip(a["n"], b["n"]) & close
-    met = sparse.cosine_join(vectors, vectors.where(F.col("n") > 1), weights, F.element_at(F.create_map(*[F.lit(x) for kv in WORD_COSINE.items() for x in kv]), F.col("size")), where).select(a["space"].alias("space"), a["id"].alias("word"), b["id"].alias("fixed"), a["n"].alias("n"), b["n"].alias("n_fixed"), "cosine")
+    met = sparse.cosine_join(vectors, vectors.where(F.col("n") > 1), weights, F.element_at(F.create_map(*[F.lit(x) for kv in WORD_COSINE.items() for x in kv]), F.col("size")), where, lambda x: sparse.gram_features(F.col(f"{x}.id"), F.col(f"{x}.size"), F.col(f"{x}.space"))).select(a["space"].alias("space"), a["id"].alias("word"), b["id"].alias("fixed"), a["n"].alias("n"), b["n"].alias("n_fixed"), "cosine")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,15 +188,19 @@ def roots(links: DataFrame) -> DataFrame:
 def close_names(sigs: DataFrame) -> DataFrame:
     """``a, b, cosine``: complete names whose whole-name vectors are close and that differ in one surname by a probable slip.
 
-    sigs: ``sig, given, family, n`` and ``counts`` of the surnames. Catches what the words alone do not
-    decide: two spellings that are equally rare, but stand in otherwise equal names.
+    sigs: ``sig, given, family, n``. Catches what the words alone do not decide: a spelling that is
+    rarer than another only in otherwise equal names.
     """
-    part = lambda i, tag: sparse.gram_features(F.get("family", F.lit(i)), 3, F.lit(tag))
-    whole = sigs.where(complete(F.col("given"), F.col("family"))).select(F.col("sig").alias("id"), F.get("given", F.lit(0)).alias("g"), F.get("family", F.lit(0)).alias("x"), F.get("family", F.lit(1)).alias("y"), "n", F.array_distinct(F.concat(sparse.gram_features(F.get("given", F.lit(0)), 3, F.lit("g")), part(0, "s"), part(1, "s"))).alias("features"))
+
+    def whole(g: Column, x: Column, y: Column) -> Column:
+        return F.array_distinct(F.concat(*[sparse.gram_features(c, 3, F.lit(tag)) for c, tag in ((g, "g"), (x, "s"), (y, "t"))]))
+
+    full = sigs.where(complete(F.col("given"), F.col("family"))).select(F.col("sig").alias("id"), F.get("given", F.lit(0)).alias("g"), F.get("family", F.lit(0)).alias("x"), F.get("family", F.lit(1)).alias("y"), "n")
+    full = full.withColumn("features", whole(F.col("g"), F.col("x"), F.col("y")))
     a, b = F.col("a"), F.col("b")
-    slip = lambda p, q: ((a[p] == b[p]) & (a[q] != b[q]) & (F.levenshtein(a[q], b[q], 2) >= 0) & (F.least(F.length(a[q]), F.length(b[q])) >= 5))
-    where = (a["id"] < b["id"]) & (a["g"] == b["g"]) & (slip("x", "y") | slip("y", "x"))
-    return sparse.cosine_join(whole, whole, sparse.feature_weights(whole), NAME_COSINE, where).select(a["id"].alias("a"), b["id"].alias("b"), "cosine")
+    slip = lambda p, q: (a[p] == b[p]) & (a[q] != b[q]) & (F.levenshtein(a[q], b[q], 2) >= 0) & (F.least(F.length(a[q]), F.length(b[q])) >= 5)
+    where = (a["n"] * 2 <= b["n"]) & (a["g"] == b["g"]) & (slip("x", "y") | slip("y", "x"))
+    return sparse.cosine_join(full, full.where(F.col("n") > 1), sparse.feature_weights(full), NAME_COSINE, where, lambda s: whole(F.col(f"{s}.g"), F.col(f"{s}.x"), F.col(f"{s}.y")), 1).select(a["id"].alias("a"), b["id"].alias("b"), "cosine")
 
 
 def average_clusters(sizes: list[float], pairs: Iterator[tuple[int, int, float]], threshold: float, absent: bool = True) -> list[list[int]]:
