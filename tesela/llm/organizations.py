@@ -44,18 +44,20 @@ def spelled_pieces(typed: DataFrame) -> DataFrame:
 def heads_and_places(pieces: DataFrame) -> DataFrame:
     """``key, alias, head, place`` of names that are no acronyms.
 
-    The identifying word is the one at the end of a piece; of several pieces, that which stands
-    beside the fewest different ends of other pieces (units such as a campus or a faculty stand
-    beside very many). Its head is what stands before it, else the other piece that is most often
+    The identifying word is the one at the end of a piece; of several pieces, that which is mostly at
+    an end and stands beside the fewest different ends of other pieces (units such as a campus or a
+    faculty stand beside very many). Its head is what stands before it, else the other piece that is most often
     a head elsewhere; all else is a unit and drops out.
     """
     tail = F.element_at(F.split("text", " "), -1)
     head = F.trim(F.regexp_replace("text", r"\S+$", ""))
     ends = pieces.where((F.col("acronym") == "") & (F.col("text") != "")).select("key", "alias", "piece", "text", tail.alias("tail"), head.alias("head"))
     n = ends.groupBy("tail").agg(F.count(F.lit(1)).alias("n"))
+    every = ends.select(F.explode(F.split("text", " ")).alias("tail")).groupBy("tail").agg(F.count(F.lit(1)).alias("every"))
+    n = n.join(every, "tail").select("tail", "n", (F.col("every") > 2 * F.col("n")).alias("inner"))
     other = ends.select("key", F.col("tail").alias("other"))
     partners = ends.join(other, "key").where(F.col("tail") != F.col("other")).groupBy("tail").agg(F.count_distinct("other").alias("partners"))
-    ranked = ends.join(n, "tail").join(partners, "tail", "left").withColumn("rank", F.struct(F.coalesce("partners", F.lit(0)), "n", "piece"))
+    ranked = ends.join(n, "tail").join(partners, "tail", "left").withColumn("rank", F.struct("inner", F.coalesce("partners", F.lit(0)), "n", "piece"))
     best = ranked.groupBy("key", "alias").agg(F.min_by(F.struct("piece", "tail", "head"), "rank").alias("b"))
     attached = ends.where(F.col("head") != "").groupBy("head").agg(F.count(F.lit(1)).alias("times")).withColumnRenamed("head", "text")
     beside = best.where(F.col("b.head") == "").join(ends.select("key", "piece", "text"), "key").where(F.col("piece") != F.col("b.piece")).join(attached, "text").groupBy("key").agg(F.max_by("text", F.struct("times", "text")).alias("beside"))
