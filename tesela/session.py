@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
-    """A local session with the settings the engine expects (UTC, AQE on)."""
+    """A local session with the settings the engine expects (UTC, AQE on); its Python workers find this package from any folder."""
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if home not in (path := os.environ.get("PYTHONPATH", "")).split(os.pathsep):
+        os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (home, path) if x)
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tesela")
@@ -33,12 +36,19 @@ def durable(df: DataFrame, eager: bool = False) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint.
 
     The folder is the one the session names in ``spark.checkpoint.dir`` (shared by
-    the executors, so losing one executor loses nothing). Only where the setting is
-    absent (local runs, tests) a temporary folder is used.
+    the executors, so losing one executor loses nothing).
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tesela-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=eager)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; a temporary one only in a local session that names none, an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tesela-checkpoint-")
