@@ -1,10 +1,11 @@
 """Per-document text statistics and form: prose, list, table or junk (problem 10).
 
-Every line becomes one of a few symbols by its statistics (cells, bullets, share of common
-words, odd characters, repetition). A hidden Markov model with the four forms as states reads
-the symbols of a document; its transition and emission tables are estimated by expectation
-maximisation over all documents, from starting tables that serve as Dirichlet priors. The
-document's form is the one with the largest share of its characters.
+Every line becomes a vector of binned statistics (cells, markers, shares of common words, digits and
+symbols, shape of its words and so on). A hidden Markov model reads the lines of a document; its
+states are kinds of lines, each of which belongs to one of the four forms, and emit the statistics
+independently. Start, transition and emission tables are estimated by expectation maximisation over
+all documents, from starting tables that count as much as a few lines. The document's form is the
+one with the largest share of its characters.
 """
 
 from __future__ import annotations
@@ -26,108 +27,109 @@ COMMON = frozenset(
     ainda ao aos as até ate cerca com da das dele do dos é em embora enquanto entre essa esse esta está este foi mais mas muito na nas nem no nos num numa não nao os ou para pela pelo pelas pelos quando quem sem ser seu seus são sao só sua suas também tambem tem um uma""".split()
 )
 
-SYMBOLS = "gtdfkhbxrlcpqso"
 STATES = ("prose", "list", "table", "junk")
-# Starting emission weights per state in the order of SYMBOLS, and stickiness of states.
-#         g     t     d     f     k     h     b     x     r     l     c     p     q     s     o
-PRIOR = np.array(
-    [
-        [0.001, 0.001, 0.001, 0.002, 0.005, 0.02, 0.02, 0.001, 0.001, 0.004, 0.002, 0.75, 0.08, 0.07, 0.04],
-        [0.001, 0.001, 0.002, 0.002, 0.005, 0.03, 0.50, 0.002, 0.002, 0.10, 0.10, 0.01, 0.02, 0.21, 0.01],
-        [0.20, 0.25, 0.15, 0.20, 0.15, 0.01, 0.004, 0.001, 0.001, 0.004, 0.001, 0.002, 0.002, 0.02, 0.005],
-        [0.001, 0.001, 0.001, 0.002, 0.001, 0.002, 0.005, 0.70, 0.20, 0.01, 0.001, 0.002, 0.01, 0.02, 0.05],
-    ]
-)
-STAY = 0.94
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
-_NUMBER = re.compile(r"^\s*(?:[-+]?[$€]?\d[\d.,]*\s?%?|NA|N/A|s/d|n/a|-|–|)\s*$")
-_BULLET = re.compile(r"^(?:[-–—*•+☐☑☒▪◦‣·]|\[[ xX✓]?\]|\[\d+\]|\(\w{1,3}\)|\d+(?:\.\d+)*[.)]|\d+\.\d+(?:\.\d+)*|[a-z][.)])\s+")
-_LEADER = re.compile(r"(?:\.{3,}|…{2,}|(?: \.){3,})\s*\d+$")
-_ODD = re.compile(r"[~^©€™�\\|Ã¤¦§¬¢]|(?<=\w)[¿¡]|[¿¡](?=\W)")
-_NOISE = re.compile(r"[$%&*+=_#?¡<>{}@^~|\\]")
-_ITEMS = re.compile(r"\s*[,;|·•/]\s+")
-_REFERENCE = re.compile(r"^[^\W\d_][^()\n]{1,160}\((?:19|20)\d\d[a-z]?\)\. .*\d")
-_KEY = re.compile(r"^([^:\t]{1,24}):(\s+\S.*)?$")
+_BULLET = re.compile(r"[-–—*•+☐☑☒▪◦‣·]\s|\[[ xX✓]?\]\s")
+_NUMBERED = re.compile(r"(?:\[\d+\]|\(\w{1,3}\)|\d+(?:\.\d+)*[.)]|\d+\.\d+(?:\.\d+)*|[a-z][.)])\s")
+_KEY = re.compile(r"[^:\t]{1,24}:(?:\s|$)")
+_TIGHT = re.compile(r"[;,](?=[^\s])")
+_WIDE = re.compile(r"(?<=\S) {2,}(?=\S)")
+_LOOSE = re.compile(r"[,;|·•/]\s")
+_NOISE = re.compile(r"[$%&*+=_#?¡¿<>{}@^~\\©€™�Ã¤¦§¬¢]")
+_YEAR = re.compile(r"\((?:19|20)\d\d[a-z]?\)")
 _RUN = re.compile(r"[^\W\d_aeiouyáéíóúàâêôãõüAEIOUYÁÉÍÓÚÂÊÔÃÕÜ]{5,}")
+_LEADER = re.compile(r"(?:\.{3,}|…{2,}|(?: \.){3,})\s*\d+$")
+_DIGIT = re.compile(r"\d")
+_SIGN = re.compile(r"[^\w\s]|_")
 _ENDS = (".", "?", "!", ":", "…", '."', ".”", ".»", ".)")
 
+#: Statistics of a line and the number of their bins.
+FEATURES = {"cells": 5, "delimiter": 5, "items": 3, "marker": 6, "end": 4, "common": 5, "words": 5, "digits": 4, "signs": 4, "noise": 4, "shape": 7, "year": 2, "token": 5, "distinct": 4}
+
+
+def _bin(value: float, bounds: tuple[float, ...]) -> int:
+    return sum(value >= b for b in bounds)
+
 
-def line_symbol(line: str, previous: str, words: list[str], n_common: int) -> str:
-    """Symbol of a non-blank line: ``g t d f k`` rows of tables, ``h b l c s`` list forms, ``x r`` junk, ``p q`` prose, ``o`` other."""
+def line_statistics(line: str, previous: str, words: list[str], n_common: int) -> bytes:
+    """Bins of the statistics of a non-blank line, in the order of ``FEATURES``; every test takes time linear in the line, at any length."""
     text = line.strip()
-    size, tokens = len(text), text.split()
-    n = len(tokens)
+    tokens = text.split()
+    size, n = len(text), len(tokens)
+    counts = (line.strip(" ").count("\t"), text.count("|") if text.count("|") > 1 or " | " not in text else 0, len(_TIGHT.findall(text)), len(_WIDE.findall(text)))
+    kind = max(range(4), key=counts.__getitem__)
+    cells = 1 + counts[kind]
+    grid = text[0] == "|" or text.startswith(("+-", "+="))
+    if cells > 1 and kind == 1 and not grid and counts[1] < 2:
+        cells = 1
+    per_cell = n / cells if kind != 2 else max(n, 1) / cells
+    cell_bin = 4 if grid else 0 if cells == 1 else 1 if per_cell <= 2 else 2 if per_cell <= 5 else 3
+    delimiter = 0 if cells == 1 and not grid else 2 if grid else kind + 1
+    items = 1 + len(_LOOSE.findall(text))
+    item_bin = 0 if items < 3 else 1 if len(words) <= 4 * items else 2
+    marker = 1 if _BULLET.match(text + " ") else 2 if _NUMBERED.match(text + " ") else 3 if (m := _KEY.match(text)) and len(m.group().split()) <= 3 and n <= 9 else 4 if text[0].isupper() else 5 if text[0].islower() else 0
+    end = 2 if _LEADER.search(text[-80:]) else 1 if text.endswith(_ENDS) else 3 if text[-1].isdigit() else 0
     share = n_common / len(words) if words else 0.0
-    short = size < 400  # in longer lines prose may hold separators: cells must be short there too
-    if text.startswith(("+-", "+=")) or (text[0] == "|" and text[-1] == "|" and size > 2):
-        return "g"
-    if "\t" in text and (short or text.count("\t") >= 2 or n <= 16):
-        return "t"
-    for sep in ";,":
-        if sep in text and sep + " " not in text:
-            cells = text.rstrip(sep).split(sep)
-            numbers = sum(map(bool, map(_NUMBER.match, cells)))
-            if len(cells) >= 2 and (numbers >= len(cells) / 3 or (len(cells) >= 3 and n <= 2 * len(cells))):
-                return "d"
-    if "  " in text:
-        cells = re.split(r" {2,}", text)
-        if len(cells) >= 3 and ((any(map(_NUMBER.match, cells)) and (short or n <= 8 * len(cells))) or n <= 2 * len(cells)):
-            return "f"
-    if (m := _KEY.match(text)) and n <= 7 and len(m.group(1).split()) <= 3:
-        return "k" if m.group(2) or line.endswith(": ") or len(m.group(1)) < 9 else "h"
-    rest = _BULLET.sub("", text)
-    if len(noise := _NOISE.findall(rest)) >= 2 and len(noise) > 0.08 * size:
-        return "x"
-    if _LEADER.search(text) or (n <= 16 and _BULLET.match(text)):
-        return "b"
-    if _REFERENCE.match(text) and (short or share < 0.2):
-        return "c"
-    if text == previous and n <= 8:
-        return "r"
+    digits = sum(map(bool, map(_DIGIT.search, tokens))) / n
     longest = max(map(len, tokens))
-    if longest >= 40 and longest > size / 2:
-        return "x"
-    if n >= 8 and sum(len(t) == 1 for t in tokens) >= 0.6 * n:
-        return "x"
-    if n >= 8:
-        distinct = len(set(words))
-        if distinct <= 10 and distinct <= len(words) / 4:
-            return "x"
-    if len(_ODD.findall(text)) > 0.025 * size and size >= 20 and " | " not in text:
-        return "x"
-    if share >= 0.2 and len(words) >= 4:
-        digits = sum(any(ch.isdigit() for ch in t) for t in tokens) if n < 80 else 0
-        if digits < 0.5 * n:
-            return "p"
-    items = _ITEMS.split(text)
-    if len(items) >= 4 and share < 0.15 and len(words) <= 4 * len(items):
-        return "l"
-    if n >= 5 and sum(any(ch.isdigit() for ch in t) for t in tokens) >= 0.5 * n:
-        return "x"
-    if size >= 12 and sum(not (ch.isalnum() or ch.isspace()) for ch in text) > 0.22 * size:
-        return "x"
-    if share < 0.1 and n >= 3 and sum(map(bool, map(_RUN.search, tokens))) >= 0.35 * n:
-        return "x"
-    if n >= 12 and share < 0.06:
-        return "x"
-    if n >= 5 and share >= 0.1 and text.endswith(_ENDS):
-        return "p"
-    if n >= 5 and share >= 0.1:
-        return "q"
-    if n <= 8:
-        return "s"
-    return "o"
+    distinct = len(set(words))
+    if text == previous and n <= 8:
+        shape = 1
+    elif longest >= 40 and longest > size / 2:
+        shape = 2
+    elif n >= 8 and sum(len(t) == 1 for t in tokens) >= 0.6 * n:
+        shape = 3
+    elif n >= 8 and distinct <= 10 and distinct <= len(words) / 4:
+        shape = 4
+    elif n >= 3 and sum(map(bool, map(_RUN.search, tokens))) >= 0.35 * n:
+        shape = 5
+    else:
+        shape = 6 if n >= 12 and share < 0.06 and item_bin != 1 else 0
+    return bytes((
+        cell_bin, delimiter, item_bin, marker, end, 0 if share == 0 else 1 + _bin(share, (0.1, 0.2, 0.35)), _bin(n, (3, 6, 9, 17)), 0 if digits == 0 else 1 + _bin(digits, (0.25, 0.5)),
+        _bin(len(_SIGN.findall(text)) / size, (0.03, 0.08, 0.2)), 0 if not (noise := len(_NOISE.findall(text))) else 1 + _bin(noise / size, (0.025, 0.08)), shape, int(bool(_YEAR.search(text))),
+        _bin(sum(map(len, tokens)) / n, (1.5, 3, 9, 20)), 0 if len(words) < 8 else 1 + _bin(-distinct / len(words), (-0.5, -0.25)),
+    ))
+
+
+#: Starting weights of the statistics of a line in general.
+USUAL = {
+    "cells": [9, 0.3, 0.3, 0.3, 0.02], "delimiter": [9, 0.3, 0.1, 0.3, 0.3], "items": [8, 1, 1], "marker": [1, 0.1, 0.2, 0.2, 5, 3], "end": [5, 4, 0.1, 1], "common": [3, 2, 2, 2, 2], "words": [1, 1, 1, 2, 3],
+    "digits": [7, 2, 0.5, 0.3], "signs": [5, 3, 1, 0.3], "noise": [9, 1, 0.3, 0.1], "shape": [9, 0.1, 0.02, 0.02, 0.05, 0.2, 0.3], "year": [9.5, 0.3], "token": [0.02, 0.5, 9, 0.3, 0.05], "distinct": [5, 5, 0.5, 0.02],
+}
+#: Kinds of lines: their form, and the starting weights of the statistics that tell them from lines in general.
+KINDS = {
+    "sentence": ("prose", {"cells": [9, 0.1, 0.2, 0.6, 0.02], "items": [6, 0.3, 3], "marker": [0.3, 0.1, 0.2, 0.1, 6, 3], "end": [3, 7, 0.05, 0.2], "common": [0.1, 0.3, 1, 5, 5], "words": [0.2, 0.5, 1, 3, 6], "digits": [6, 3, 0.3, 0.05], "signs": [6, 4, 0.3, 0.02], "noise": [9, 0.6, 0.1, 0.02], "shape": [9.8, 0.01, 0.002, 0.002, 0.01, 0.03, 0.1]}),
+    "phrase": ("prose", {"cells": [9, 0.1, 0.2, 0.2, 0.02], "marker": [0.3, 0.05, 0.1, 0.1, 5, 5], "end": [6, 4, 0.05, 0.2], "common": [0.5, 0.5, 1.5, 4, 4], "words": [2, 3, 3, 2, 1], "digits": [8, 1, 0.3, 0.1], "signs": [6, 3, 0.3, 0.05], "noise": [9, 0.3, 0.1, 0.02], "shape": [9.8, 0.01, 0.002, 0.002, 0.01, 0.03, 0.05]}),
+    "bullet": ("list", {"cells": [9, 0.3, 0.2, 0.2, 0.01], "marker": [0.1, 5, 5, 0.1, 0.1, 0.1], "end": [7, 1, 1, 1], "words": [2, 4, 3, 1, 0.3], "noise": [6, 2, 2, 0.3], "shape": [9.5, 0.01, 0.01, 0.01, 0.01, 0.1, 0.05]}),
+    "items": ("list", {"cells": [9, 0.2, 0.3, 0.3, 0.01], "items": [0.3, 9, 0.5], "end": [6, 3, 0.1, 0.5], "common": [5, 3, 1, 0.2, 0.05], "words": [0.3, 1, 2, 3, 3], "digits": [8, 1.5, 0.3, 0.1], "noise": [9, 0.6, 0.2, 0.05], "shape": [9, 0.05, 0.02, 0.02, 0.05, 0.1, 0.8]}),
+    "reference": ("list", {"cells": [9, 0.1, 0.2, 0.4, 0.01], "year": [0.1, 9], "common": [2, 3, 3, 1, 0.1], "words": [0.1, 0.2, 0.5, 4, 5], "end": [3, 4, 0.1, 3], "noise": [9, 0.6, 0.1, 0.02], "shape": [9, 0.02, 0.02, 0.02, 0.02, 0.05, 0.5]}),
+    "entry": ("list", {"cells": [9.5, 0.2, 0.1, 0.05, 0.01], "marker": [0.3, 0.05, 0.1, 0.5, 5, 4], "end": [8, 0.3, 2, 0.3], "common": [6, 0.5, 1, 1, 0.3], "words": [4, 5, 1, 0.3, 0.02], "digits": [9, 0.3, 0.5, 0.3], "signs": [8, 1, 0.4, 0.1], "noise": [9.5, 0.2, 0.1, 0.05], "shape": [9.5, 0.01, 0.01, 0.01, 0.01, 0.1, 0.01]}),
+    "rows": ("table", {"marker": [4, 1, 1, 1, 3, 3], "digits": [2, 2, 2, 2], "signs": [3, 3, 3, 3], "noise": [5, 1, 1, 3], "words": [3, 3, 3, 3, 3], "end": [5, 1, 0.1, 3], "cells": [0.05, 4, 3, 0.5, 4], "delimiter": [0.02, 5, 5, 0.1, 0.1], "common": [6, 2, 1, 0.5, 0.2]}),
+    "tight": ("table", {"marker": [3, 0.3, 0.3, 0.3, 3, 3], "digits": [1, 1, 2, 4], "signs": [2, 3, 3, 2], "words": [5, 2, 1, 1, 1], "end": [5, 0.5, 0.1, 5], "cells": [0.1, 9, 0.5, 0.05, 0.01], "delimiter": [0.05, 0.1, 0.1, 9, 0.1], "common": [8, 1, 0.5, 0.2, 0.1], "shape": [9, 0.1, 0.3, 0.02, 0.02, 0.1, 0.1]}),
+    "columns": ("table", {"marker": [3, 0.3, 0.3, 0.3, 3, 3], "digits": [2, 2, 2, 3], "words": [1, 3, 3, 2, 1], "end": [5, 0.5, 0.1, 5], "cells": [0.1, 7, 3, 0.2, 0.01], "delimiter": [0.05, 0.1, 0.1, 0.1, 9], "common": [7, 2, 1, 0.3, 0.1], "shape": [9, 0.1, 0.02, 0.1, 0.02, 0.1, 0.1]}),
+    "key": ("table", {"cells": [9, 0.5, 0.3, 0.1, 0.01], "marker": [0.05, 0.02, 0.02, 9, 0.1, 0.1], "words": [5, 4, 1, 0.1, 0.01], "end": [5, 1, 0.1, 4]}),
+    "noise": ("junk", {"cells": [6, 2, 1, 1, 0.1], "signs": [0.1, 0.5, 2, 7], "noise": [0.3, 0.5, 2, 7], "common": [8, 1, 0.5, 0.2, 0.1], "marker": [6, 0.5, 0.3, 0.1, 1, 1]}),
+    "odd": ("junk", {"cells": [8, 0.5, 0.3, 0.3, 0.02], "noise": [0.1, 1, 7, 3], "common": [4, 3, 2, 1, 0.5], "signs": [0.5, 2, 4, 4]}),
+    "repeat": ("junk", {"distinct": [4, 0.1, 0.5, 6], "shape": [0.02, 6, 0.1, 0.1, 6, 0.1, 0.1], "items": [4, 4, 4], "common": [5, 2, 2, 2, 2]}),
+    "spaced": ("junk", {"token": [9, 0.3, 0.05, 0.02, 0.02], "distinct": [1, 2, 3, 5], "shape": [0.02, 0.05, 0.1, 9, 0.1, 0.1, 0.1], "words": [0.1, 0.1, 0.3, 1, 9]}),
+    "glued": ("junk", {"token": [0.02, 0.05, 0.3, 3, 7], "shape": [0.02, 0.05, 9, 0.1, 0.1, 0.3, 0.1], "common": [9, 0.3, 0.1, 0.1, 0.1], "words": [9, 1, 0.3, 0.1, 0.1]}),
+    "letters": ("junk", {"shape": [0.1, 0.05, 0.2, 0.1, 0.1, 8, 4], "common": [8, 2, 0.3, 0.1, 0.05], "cells": [9, 0.3, 0.2, 0.2, 0.02], "year": [9.5, 0.1], "items": [8, 0.3, 1]}),
+    "numbers": ("junk", {"cells": [9.5, 0.1, 0.1, 0.05, 0.01], "digits": [0.02, 0.1, 0.5, 9], "words": [0.05, 2, 3, 3, 3], "marker": [6, 0.1, 0.3, 0.05, 1, 1], "common": [9, 0.5, 0.2, 0.05, 0.02], "noise": [7, 1, 1, 1]}),
+}
+STAY = 0.94  # starting chance that the next line has the same form
+STRENGTH = 200.0  # lines that the starting tables of a kind count as
 
 
 def text_features(text: str) -> tuple:
-    """Statistics of one text and the symbols and sizes of its non-blank lines.
+    """Statistics of one text and the binned statistics and sizes of its non-blank lines.
 
-    ``(n_words, mean_word_length, symbol_ratio, punct_line_share, common_share, symbols, sizes)``;
-    the ratios of a text without words or characters are 0.
+    ``(n_words, mean_word_length, symbol_ratio, punct_line_share, common_share, lines, sizes)``; the
+    ratios of a text without words or characters are 0.
     """
     n_words = n_letters = n_common = ended = 0
-    symbols, sizes, previous = [], [], ""
+    lines, sizes, previous = [], [], ""
     for line in text.splitlines():
         bare = line.strip()
         if not bare:
@@ -138,22 +140,22 @@ def text_features(text: str) -> tuple:
         n_letters += sum(map(len, words))
         n_common += common
         ended += bare.endswith(_ENDS)
-        symbols.append(line_symbol(line, previous, words, common))
+        lines.append(line_statistics(line, previous, words, common))
         sizes.append(len(bare))
         previous = bare
     visible = len("".join(text.split()))
     symbol_ratio = max(0, visible - n_letters) / len(text) if text else 0.0
-    return (n_words, n_letters / n_words if n_words else 0.0, symbol_ratio, ended / len(sizes) if sizes else 0.0, n_common / n_words if n_words else 0.0, "".join(symbols), sizes)
+    return (n_words, n_letters / n_words if n_words else 0.0, symbol_ratio, ended / len(sizes) if sizes else 0.0, n_common / n_words if n_words else 0.0, b"".join(lines), sizes)
 
 
-_FEATURES = "n_words long, mean_word_length double, symbol_ratio double, punct_line_share double, common_share double, symbols string, sizes array<int>"
+_FEATURES = "n_words long, mean_word_length double, symbol_ratio double, punct_line_share double, common_share double, lines binary, sizes array<int>"
 
 
 def document_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Statistics and line symbols of every text; a null text counts as empty."""
+    """Statistics of every text and its lines; a null text counts as empty."""
     kind = docs.schema[key].dataType.simpleString()
-    names = ["n_words", "mean_word_length", "symbol_ratio", "punct_line_share", "common_share", "symbols", "sizes"]
-    types = [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.list_(pa.int32())]
+    names = ["n_words", "mean_word_length", "symbol_ratio", "punct_line_share", "common_share", "lines", "sizes"]
+    types = [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,91 +166,97 @@ def document_features(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
 
 class LineModel:
-    """Start, transition and emission tables of the hidden Markov model."""
+    """Start, transition and emission tables of the hidden Markov model over the kinds of lines."""
 
-    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
+    def __init__(self, start: np.ndarray, move: np.ndarray, emit: list[np.ndarray]):
         self.start, self.move, self.emit = start, move, emit
+        self.logs = [np.log(e) for e in emit]
 
     @classmethod
-    def prior(cls) -> LineModel:
-        k = len(STATES)
-        move = np.full((k, k), (1 - STAY) / (k - 1))
-        np.fill_diagonal(move, STAY)
-        return cls(np.array([0.7, 0.1, 0.1, 0.1]), move, PRIOR / PRIOR.sum(1, keepdims=True))
+    def starting(cls) -> LineModel:
+        forms = [f for f, _ in KINDS.values()]
+        k = len(forms)
+        same = np.array([[a == b for b in forms] for a in forms])
+        move = np.where(same, STAY / same.sum(1, keepdims=True), (1 - STAY) / (~same).sum(1, keepdims=True))
+        start = np.array([0.7 if f == "prose" else 0.1 for f in forms]) / np.array([forms.count(f) for f in forms])
+        emit = []
+        for name, bins in FEATURES.items():
+            table = np.array([np.array(w.get(name, USUAL[name]), float) for _, w in KINDS.values()])
+            emit.append((table / table.sum(1, keepdims=True) + 0.0003) / (1 + 0.0003 * bins))
+        return cls(start / start.sum(), move.reshape(k, k), emit)
+
+    def likelihoods(self, codes: np.ndarray) -> np.ndarray:
+        """Of every kind for lines ``(sequences, lines, statistics)``, scaled per line."""
+        logs = sum(table.T[codes[:, :, f]] for f, table in enumerate(self.logs))
+        return np.exp(logs - logs.max(2, keepdims=True))
 
     def posteriors(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For sequences of one length (rows of codes): state posteriors per line, summed moves per sequence."""
-        n, size = codes.shape
-        lik = self.emit.T[codes]
-        ahead = np.empty((size, n, len(STATES)))
-        a = self.start * lik[:, 0]
+        """For sequences of one length: the kinds' posteriors per line, and the summed moves."""
+        n, size, _ = codes.shape
+        lik = self.likelihoods(codes).transpose(1, 0, 2)
+        ahead = np.empty_like(lik)
+        a = self.start * lik[0]
         ahead[0] = a / a.sum(1, keepdims=True)
         for t in range(1, size):
-            a = (ahead[t - 1] @ self.move) * lik[:, t]
+            a = (ahead[t - 1] @ self.move) * lik[t]
             ahead[t] = a / a.sum(1, keepdims=True)
-        post = np.empty_like(ahead)
-        post[-1] = ahead[-1]
-        moves = np.zeros((n, len(STATES), len(STATES)))
-        back = np.ones((n, len(STATES)))
+        moves = np.zeros_like(self.move)
+        back = np.ones((n, len(self.start)))
         for t in range(size - 1, 0, -1):
-            right = lik[:, t] * back
-            joint = ahead[t - 1][:, :, None] * self.move * right[:, None, :]
-            joint /= joint.sum((1, 2), keepdims=True)
-            moves += joint
+            right = lik[t] * back
+            total = ((ahead[t - 1] @ self.move) * right).sum(1, keepdims=True)
+            moves += (ahead[t - 1] / total).T @ right * self.move
             back = right @ self.move.T
             back /= back.sum(1, keepdims=True)
             p = ahead[t - 1] * back
-            post[t - 1] = p / p.sum(1, keepdims=True)
-        return post.transpose(1, 0, 2), moves
+            ahead[t - 1] = p / p.sum(1, keepdims=True)
+        return ahead.transpose(1, 0, 2), moves
+
 
+_CELLS = 1 << 20  # likelihoods held at a time, whatever the number of documents and lines
 
-def _by_length(texts: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
+
+def _by_length(lines: list[bytes]) -> Iterator[tuple[list[int], np.ndarray]]:
+    """Documents of equal numbers of lines: their rows and codes."""
+    width = len(FEATURES)
     groups: dict[int, list[int]] = {}
-    for i, t in enumerate(texts):
-        if t:
-            groups.setdefault(len(t), []).append(i)
-    index = np.zeros(128, np.int64)
-    for i, s in enumerate(SYMBOLS):
-        index[ord(s)] = i
+    for i, x in enumerate(lines):
+        if x:
+            groups.setdefault(len(x) // width, []).append(i)
     for size, rows in groups.items():
-        for at in range(0, len(rows), 4096):
-            part = rows[at : at + 4096]
-            yield part, index[np.frombuffer("".join(texts[i] for i in part).encode(), np.uint8).reshape(len(part), size)]
-
+        step = max(1, _CELLS // (size * len(KINDS)))
+        for at in range(0, len(rows), step):
+            part = rows[at : at + step]
+            yield part, np.frombuffer(b"".join(lines[i] for i in part), np.uint8).reshape(len(part), size, width)
 
-def train(features: DataFrame, rounds: int = 2, strength: float = 2.0) -> LineModel:
-    """Expectation maximisation over all documents.
 
-    Equal symbol sequences count once with their weight; tasks return sums of expected counts
-    (a few dozen numbers), never sequences. The prior weighs ``strength`` times the data.
-    """
-    sequences = durable(features.where(F.length("symbols") > 0).groupBy("symbols").agg(F.count(F.lit(1)).alias("n")), eager=True)
-    model = prior = LineModel.prior()
+def train(features: DataFrame, rounds: int = 3) -> LineModel:
+    """Expectation maximisation over all documents; tasks return sums of expected counts (some hundred numbers), never sequences."""
+    sequences = features.where(F.length("lines") > 0).select("lines")
+    first = model = LineModel.starting()
+    k, bins = len(KINDS), list(FEATURES.values())
     for _ in range(rounds):
 
         def expect(batches: Iterator[pa.RecordBatch], m: LineModel = model) -> Iterator[pa.RecordBatch]:
-            sums = {"start": np.zeros(len(STATES)), "move": np.zeros((len(STATES),) * 2), "emit": np.zeros((len(STATES), len(SYMBOLS)))}
+            start, move, emit = np.zeros(k), np.zeros((k, k)), [np.zeros((k, b)) for b in bins]
             for batch in batches:
-                texts, n = batch.column(0).to_pylist(), np.asarray(batch.column(1))
-                for rows, codes in _by_length(texts):
+                for _, codes in _by_length(batch.column(0).to_pylist()):
                     post, moves = m.posteriors(codes)
-                    w = n[rows].astype(float)
-                    sums["start"] += w @ post[:, 0]
-                    sums["move"] += np.tensordot(w, moves, 1)
-                    weighted = (post * w[:, None, None]).reshape(-1, len(STATES))
-                    for k in range(len(STATES)):
-                        sums["emit"][k] += np.bincount(codes.ravel(), weighted[:, k], len(SYMBOLS))
-            flat = np.concatenate([v.ravel() for v in sums.values()])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], ["i", "v"])
+                    start += post[:, 0].sum(0)
+                    move += moves
+                    flat, each = post.reshape(-1, k), codes.reshape(-1, len(bins))
+                    for f, b in enumerate(bins):
+                        emit[f] += (flat.T @ np.eye(b)[each[:, f]])
+            out = np.concatenate([start, move.ravel(), *[e.ravel() for e in emit]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out)), pa.int32()), pa.array(out)], ["i", "v"])
 
         total = {r["i"]: r["v"] for r in sequences.mapInArrow(expect, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
-        k, s = len(STATES), len(SYMBOLS)
-        flat = np.array([total.get(i, 0.0) for i in range(k + k * k + k * s)])
-        lines = max(flat[k + k * k :].sum(), 1.0)
-        start = flat[:k] + prior.start * max(flat[:k].sum(), 1.0)
-        move = flat[k : k + k * k].reshape(k, k) + prior.move * strength * lines / k
-        emit = flat[k + k * k :].reshape(k, s) + prior.emit * strength * lines / k
-        model = LineModel(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
+        flat = np.array([total.get(i, 0.0) for i in range(k + k * k + k * sum(bins))])
+        start = flat[:k] + STRENGTH * first.start
+        move = flat[k : k + k * k].reshape(k, k) + STRENGTH * first.move
+        ends = k + k * k + k * np.cumsum([0, *bins])
+        emit = [flat[ends[f] : ends[f + 1]].reshape(k, b) + STRENGTH * first.emit[f] for f, b in enumerate(bins)]
+        model = LineModel(start / start.sum(), move / move.sum(1, keepdims=True), [e / e.sum(1, keepdims=True) for e in emit])
     return model
 
 
@@ -256,21 +264,21 @@ def label_documents(features: DataFrame, model: LineModel, key: str = "doc_id")
     """Features plus the character shares of the four forms and ``form``; null form for texts without visible lines."""
     kept = ["n_words", "mean_word_length", "symbol_ratio", "punct_line_share", "common_share"]
     kind = features.schema[key].dataType.simpleString()
+    form_of = np.array([[f == s for s in STATES] for f, _ in KINDS.values()], float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, sizes = batch.column("symbols").to_pylist(), batch.column("sizes").to_pylist()
-            shares = np.zeros((len(texts), len(STATES)))
-            for rows, codes in _by_length(texts):
-                best = model.posteriors(codes)[0].argmax(2)
+            lines, sizes = batch.column("lines").to_pylist(), batch.column("sizes").to_pylist()
+            shares = np.zeros((len(lines), len(STATES)))
+            for rows, codes in _by_length(lines):
+                forms = model.posteriors(codes)[0] @ form_of
                 weight = np.array([sizes[i] for i in rows], float)
-                for k in range(len(STATES)):
-                    shares[rows, k] = (weight * (best == k)).sum(1) / weight.sum(1)
-            form = [None if not t else STATES[0] if s[0] >= 0.5 else STATES[1 + int(s[1:].argmax())] for t, s in zip(texts, shares)]
-            yield pa.RecordBatch.from_arrays([batch.column(key), *[batch.column(c) for c in kept], *[pa.array(shares[:, k]) for k in range(len(STATES))], pa.array(form, pa.string())], [key, *kept, *[f"{s}_share" for s in STATES], "form"])
+                shares[rows] = np.einsum("nl,nls->ns", weight, forms) / weight.sum(1, keepdims=True)
+            form = [None if not t else STATES[0] if s[0] >= 0.5 else STATES[1 + int(s[1:].argmax())] for t, s in zip(lines, shares)]
+            yield pa.RecordBatch.from_arrays([batch.column(key), *[batch.column(c) for c in kept], *[pa.array(shares[:, i]) for i in range(len(STATES))], pa.array(form, pa.string())], [key, *kept, *[f"{s}_share" for s in STATES], "form"])
 
     schema = f"`{key}` {kind}, n_words long, mean_word_length double, symbol_ratio double, punct_line_share double, common_share double, " + ", ".join(f"{s}_share double" for s in STATES) + ", form string"
-    return features.select(key, *kept, "symbols", "sizes").mapInArrow(run, schema)
+    return features.select(key, *kept, "lines", "sizes").mapInArrow(run, schema)
 
 
 def quality(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
