@@ -41,7 +41,6 @@ _YEAR = re.compile(r"\((?:19|20)\d\d[a-z]?\)")
 _RUN = re.compile(r"[^\W\d_aeiouyáéíóúàâêôãõüAEIOUYÁÉÍÓÚÂÊÔÃÕÜ]{5,}")
 _LEADER = re.compile(r"(?:\.{3,}|…{2,}|(?: \.){3,})\s*\d+$")
 _DIGIT = re.compile(r"\d")
-_SIGN = re.compile(r"[^\w\s]|_")
 _ENDS = (".", "?", "!", ":", "…", '."', ".”", ".»", ".)")
 
 #: Statistics of a line and the number of their bins.
@@ -71,25 +70,27 @@ def line_statistics(line: str, previous: str, words: list[str], n_common: int) -
     marker = 1 if _BULLET.match(text + " ") else 2 if _NUMBERED.match(text + " ") else 3 if (m := _KEY.match(text)) and len(m.group().split()) <= 3 and n <= 9 else 4 if text[0].isupper() else 5 if text[0].islower() else 0
     end = 2 if _LEADER.search(text[-80:]) else 1 if text.endswith(_ENDS) else 3 if text[-1].isdigit() else 0
     share = n_common / len(words) if words else 0.0
-    digits = sum(map(bool, map(_DIGIT.search, tokens))) / n
-    longest = max(map(len, tokens))
+    digits = sum(map(bool, map(_DIGIT.search, tokens))) / n if _DIGIT.search(text) else 0
+    lengths = [*map(len, tokens)]
+    longest, visible = max(lengths), sum(lengths)
+    signs = max(0, visible - sum(map(len, words)))
     distinct = len(set(words))
     if text == previous and n <= 8:
         shape = 1
     elif longest >= 40 and longest > size / 2:
         shape = 2
-    elif n >= 8 and sum(len(t) == 1 for t in tokens) >= 0.6 * n:
+    elif n >= 8 and lengths.count(1) >= 0.6 * n:
         shape = 3
     elif n >= 8 and distinct <= 10 and distinct <= len(words) / 4:
         shape = 4
-    elif n >= 3 and sum(map(bool, map(_RUN.search, tokens))) >= 0.35 * n:
+    elif n >= 3 and len(_RUN.findall(text)) >= 0.35 * n:
         shape = 5
     else:
         shape = 6 if n >= 12 and share < 0.06 and item_bin != 1 else 0
     return bytes((
         cell_bin, delimiter, item_bin, marker, end, 0 if share == 0 else 1 + _bin(share, (0.1, 0.2, 0.35)), _bin(n, (3, 6, 9, 17)), 0 if digits == 0 else 1 + _bin(digits, (0.25, 0.5)),
-        _bin(len(_SIGN.findall(text)) / size, (0.03, 0.08, 0.2)), 0 if not (noise := len(_NOISE.findall(text))) else 1 + _bin(noise / size, (0.025, 0.08)), shape, int(bool(_YEAR.search(text))),
-        _bin(sum(map(len, tokens)) / n, (1.5, 3, 9, 20)), 0 if len(words) < 8 else 1 + _bin(-distinct / len(words), (-0.5, -0.25)),
+        _bin(signs / size, (0.03, 0.08, 0.2)), 0 if not signs or not (noise := len(_NOISE.findall(text))) else 1 + _bin(noise / size, (0.025, 0.08)), shape, int(bool(_YEAR.search(text))),
+        _bin(visible / n, (1.5, 3, 9, 20)), 0 if len(words) < 8 else 1 + _bin(-distinct / len(words), (-0.5, -0.25)),
     ))
 
 
