@@ -58,8 +58,8 @@ def country_of_affiliation(c: Column) -> Column:
 
 
 def clean_text(c: Column) -> Column:
-    """Text without tags, white space collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), r"\s+", " "))
+    """Text without tags, white space of any script collapsed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), r"(?U)\s+", " "))
 
 
 def month_number(c: Column) -> Column:

@@ -10,11 +10,10 @@ from tesela.plans.corpus import mean_of, share_of
 OA_STATUSES = ("diamond", "gold", "hybrid", "bronze", "green", "closed")
 #: Regional blocks of countries; a country may belong to several.
 BLOCKS = {
-    "latin_america": ("AR", "BO", "BR", "CL", "CO", "CR", "CU", "EC", "MX", "PE", "UY", "VE"),
-    "iberia": ("ES", "PT"),
-    "north_america": ("CA", "MX", "US"),
-    "europe": ("DE", "ES", "FR", "GB", "IT", "NO", "PT", "SE"),
-    "asia": ("CN", "IN", "JP", "KR", "LK"),
+    "Iberoamerica": ("AR", "BO", "BR", "CL", "CO", "CR", "CU", "EC", "ES", "PA", "PE", "PT", "UY", "VE"),
+    "Global_South": ("AR", "BR", "CL", "CO", "CU", "EG", "ID", "IN", "KE", "NG", "PE", "VN", "ZA"),
+    "OECD": ("AU", "BE", "CA", "CH", "CL", "DE", "ES", "FR", "GB", "IT", "JP", "KR", "NL", "SE", "US"),
+    "BRICS": ("AE", "BR", "CN", "EG", "ET", "IN", "IR", "RU", "ZA"),
 }
 
 

@@ -127,12 +127,33 @@ def mind_ml(local: DataFrame, k: int, most: int = 64) -> DataFrame:
     return ll.agg(F.max_by("d", "ll").alias("dimension"))
 
 
-def graph_length(found: DataFrame, sizes: tuple[float, ...] = (0.5, 0.6, 0.7, 0.8, 0.9, 1.0)) -> DataFrame:
-    """Slope of the log length of the neighbour graph on the log sample size: dimension 1 / (1 - slope)."""
-    h = F.pmod(F.xxhash64("query"), F.lit(1000)) / 1000.0
-    rows = found.select("query", "distance", F.explode(F.array(*map(F.lit, sizes))).alias("s")).where(h < F.col("s"))
-    lengths = rows.groupBy("s").agg(F.ln(F.sum("distance")).alias("y"), F.ln(F.countDistinct("query").cast("double")).alias("x"))
-    return lengths.agg(F.regr_slope("y", "x").alias("slope")).select("slope", F.try_divide(F.lit(1.0), 1 - F.col("slope")).alias("dimension"))
+def graph_length(points: DataFrame, queries: DataFrame, k: int = 2, sizes: tuple[float, ...] = (0.5, 0.6, 0.7, 0.8, 0.9, 1.0), gamma: float = 1.0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Dimension whose power law fits the length of the neighbour graph over samples of the points best.
+
+    Neighbours are found again inside every sample. The length of a sample is estimated from its
+    queries (a stated set); for a dimension m it should grow with the power (m - gamma) / m of the
+    sample's size. One row per integer dimension with the residual, the best one marked.
+    """
+    h = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1000)) / 1000.0
+    rows = []
+    for s in sizes:
+        sample = points.where(h < s)
+        asked = queries.where(h < s)
+        n, q = sample.count(), asked.count()
+        total = nearest(sample, asked, k, key, vector).agg(F.sum(F.pow("distance", F.lit(gamma)))).collect()[0][0]
+        if n and q and total:
+            rows.append((n, total * n / q))
+    spark = points.sparkSession
+    width = points.select(F.size(vector).alias("d")).limit(1).collect()
+    out = []
+    if len(rows) > 1:
+        p, length = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows])
+        for m in range(1, width[0]["d"] + 1):
+            powers = p ** ((m - gamma) / m)
+            c = (powers @ length) / (powers @ powers)
+            out.append((m, float(((length - c * powers) ** 2).sum())))
+    best = min(out, key=lambda r: r[1])[0] if out else None
+    return spark.createDataFrame([(m, e, m == best) for m, e in out], "dimension int, residual double, best boolean")
 
 
 def danco(local: DataFrame, k: int, most: int = 32) -> DataFrame:

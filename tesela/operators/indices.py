@@ -114,8 +114,8 @@ def annual_production(works: DataFrame, first: int, last: int) -> DataFrame:
 
 
 def upper_median(c: str) -> Column:
-    """The element at position n // 2 of the sorted values."""
-    return F.expr(f"element_at(array_sort(collect_list({c})), int(count({c}) div 2) + 1)")
+    """The element at position n // 2 of the sorted values; partial sums hold counts of distinct values, not the values."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c} DESC)")
 
 
 def quadrants(df: DataFrame, key: str, volume: str, impact: str, impact_cut: float = 1.0) -> DataFrame:

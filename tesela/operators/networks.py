@@ -115,7 +115,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return labels
 
 
-def communities(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, rounds: int = 8, levels: int = 2) -> DataFrame:
+def communities(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, rounds: int = 60) -> DataFrame:
     """``node, community``: modularity by synchronous local moves (the Louvain objective), then moves of whole communities.
 
     Nodes move to the neighbouring community of greatest gain; in alternate rounds only to lower or
@@ -127,10 +127,11 @@ def communities(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, rou
     member = durable(nodes.select("node", F.col("node").alias("community")), eager=True)
     if not total:
         return member
-    for _ in range(levels):
+    while True:
         both = durable(both_ways(graph.where(F.col("a") != F.col("b"))).unionByName(graph.where(F.col("a") == F.col("b")).select(F.col("a").alias("node"), F.col("b").alias("other"), (F.col("weight") * 2).alias("weight"))), eager=True)
         strength = both.groupBy("node").agg(F.sum("weight").alias("k"))
         state = durable(strength.select("node", "k", F.col("node").alias("c")), eager=True)
+        idle = 0
         for r in range(rounds):
             size = state.groupBy("c").agg(F.sum("k").alias("tot"))
             links = both.where(F.col("node") != F.col("other")).join(state.select(F.col("node").alias("other"), F.col("c").alias("to")), "other").groupBy("node", "to").agg(F.sum("weight").alias("inside"))
@@ -140,11 +141,18 @@ def communities(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, rou
             best = options.withColumn("gain", gain).groupBy("node").agg(F.max(F.struct("gain", F.col("to"))).alias("b"), F.max(F.when(F.col("to") == F.col("c"), F.col("gain"))).alias("stay"))
             chosen = F.when(F.col("b.gain") > F.coalesce("stay", F.lit(0.0)), F.col("b.to"))
             ok = F.col("new") < F.col("c") if r % 2 == 0 else F.col("new") > F.col("c")
-            state = durable(state.join(best.select("node", chosen.alias("new")), "node", "left").select("node", "k", F.when(F.col("new").isNotNull() & ok, F.col("new")).otherwise(F.col("c")).alias("c")), eager=True)
+            moved = durable(state.join(best.select("node", chosen.alias("new")), "node", "left").select("node", "k", F.when(F.col("new").isNotNull() & ok, F.col("new")).otherwise(F.col("c")).alias("c"), F.col("c").alias("old")), eager=True)
+            state = moved.select("node", "k", "c")
+            idle = idle + 1 if moved.where(F.col("c") != F.col("old")).isEmpty() else 0
+            if idle == 2:
+                break
+        else:
+            warnings.warn(f"communities still moved after {rounds} rounds", stacklevel=2)
         member = durable(member.join(state.select(F.col("node").alias("community"), "c"), "community", "left").select("node", F.coalesce("c", "community").alias("community")), eager=True)
         names = state.select("node", "c")
+        if state.where(F.col("node") != F.col("c")).isEmpty():
+            return member
         graph = durable(graph.join(names.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(names.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("weight").alias("weight")), eager=True)
-    return member
 
 
 def modularity(edges: DataFrame, member: DataFrame, resolution: float = 1.0) -> DataFrame:
@@ -173,10 +181,13 @@ def agreement(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Adjusted mutual information of two labellings ``key, label`` on their common keys.
 
     The contingency table is aggregated in Spark; its cells (labels x labels, not keys) come to the
-    driver for the expectation under random labels.
+    driver for the expectation under random labels, which sums over the counts within forty standard
+    deviations of their mean (the others weigh nothing in double precision).
     """
     import math
 
+    import numpy as np
+
     both = left.select(key, F.col("label").alias("x")).join(right.select(key, F.col("label").alias("y")), key).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
     cells = [(r["x"], r["y"], r["n"]) for r in both.collect()]
     n = sum(c for _, _, c in cells)
@@ -189,20 +200,31 @@ def agreement(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
         return spark.createDataFrame([(0, None)], "n_common long, ami double")
     mi = sum(c / n * math.log(n * c / (a[x] * b[y])) for x, y, c in cells)
     h = lambda m: -sum(v / n * math.log(v / n) for v in m.values())
-    lg, expected = math.lgamma, 0.0
-    for p in a.values():
-        for q in b.values():
-            for k in range(max(1, p + q - n), min(p, q) + 1):
-                term = lg(p + 1) + lg(q + 1) + lg(n - p + 1) + lg(n - q + 1) - lg(n + 1) - lg(k + 1) - lg(p - k + 1) - lg(q - k + 1) - lg(n - p - q + k + 1)
-                expected += k / n * math.log(n * k / (p * q)) * math.exp(term)
+
+    def log_gamma(x: np.ndarray) -> np.ndarray:
+        """Stirling's series, after eight steps up from small arguments."""
+        shift = sum(np.log(x + i) for i in range(8))
+        z = x + 8.0
+        return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - shift
+
+    expected = 0.0
+    count = lambda m: {v: sum(1 for w in m.values() if w == v) for v in set(m.values())}
+    for p, n_p in count(a).items():
+        for q, n_q in count(b).items():
+            mean, spread = p * q / n, 40 * math.sqrt(max(p * q / n * (1 - p / n) * (1 - q / n), 1.0)) + 40
+            k = np.arange(max(1, p + q - n, math.floor(mean - spread)), min(p, q, math.ceil(mean + spread)) + 1, dtype=float)
+            fixed = sum(math.lgamma(v + 1) for v in (p, q, n - p, n - q)) - math.lgamma(n + 1)
+            term = fixed - log_gamma(k + 1) - log_gamma(p - k + 1) - log_gamma(q - k + 1) - log_gamma(n - p - q + k + 1)
+            expected += n_p * n_q * float((k / n * np.log(n * k / (p * q)) * np.exp(term)).sum())
     top = (h(a) + h(b)) / 2 - expected
     return spark.createDataFrame([(n, (mi - expected) / top if abs(top) > 1e-12 else 1.0)], "n_common long, ami double")
 
 
 def layout(edges: DataFrame, nodes: DataFrame, seed: int = 42, scale: float = 500.0, iterations: int = 50, most: int = 500) -> DataFrame:
-    """``node, x, y`` of a display graph by force-directed placement.
+    """``node, x, y, shown, total`` of a display graph by force-directed placement.
 
-    A picture holds few nodes: the operator takes the ``most`` most frequent ones by definition.
+    A picture holds few nodes: it takes the ``most`` most frequent ones by definition, and every row
+    says how many of the ``total`` nodes are shown.
     """
     import numpy as np
     import pandas as pd
@@ -232,15 +254,28 @@ def layout(edges: DataFrame, nodes: DataFrame, seed: int = 42, scale: float = 50
         pos = (pos - pos.mean(0)) / max(np.abs(pos - pos.mean(0)).max(), 1e-9) * scale
         return pd.DataFrame({"node": names, "x": pos[:, 0], "y": pos[:, 1]})
 
-    return rows.groupBy("g").applyInPandas(place, "node string, x double, y double")
+    placed = rows.groupBy("g").applyInPandas(place, "node string, x double, y double")
+    total = nodes.agg(F.count(F.lit(1)).alias("total"))
+    return placed.crossJoin(total).withColumn("shown", F.least(F.lit(most).cast("long"), "total"))
+
 
+def export_json(edges: DataFrame, nodes: DataFrame, member: DataFrame, n: int = 1000, scores: DataFrame | None = None) -> DataFrame:
+    """One row with the network JSON of the ``n`` most frequent nodes, and how many of all they are.
 
-def export_json(edges: DataFrame, nodes: DataFrame, member: DataFrame, n: int = 1000) -> DataFrame:
-    """One row with the network JSON of the ``n`` most frequent nodes: items with ids by sorted label, links, config."""
+    Items have ids by sorted label, cluster (``member``: ``node, cluster``), coordinates, weights
+    (documents, links, total link strength) and scores (``scores``: ``node`` and one column per score).
+    """
     kept = nodes.orderBy(F.desc("count"), "node").limit(n)
-    items = kept.join(member, "node", "left").withColumn("id", F.row_number().over(Window.orderBy("node")))
+    strength = degrees(top_subgraph(edges, nodes, n))
+    placed = layout(edges, nodes, most=n).select("node", "x", "y")
+    items = kept.join(member.select("node", "cluster"), "node", "left").join(placed, "node", "left").join(strength.select("node", "degree", "strength"), "node", "left").withColumn("id", F.row_number().over(Window.orderBy("node")))
+    named = [c for c in scores.columns if c != "node"] if scores is not None else []
+    items = items.join(scores, "node", "left") if named else items
     a, b = (items.select(F.col("node").alias(c), F.col("id").alias(i)) for c, i in (("a", "source_id"), ("b", "target_id")))
     links = edges.join(F.broadcast(a), "a").join(F.broadcast(b), "b")
-    left = items.agg(F.sort_array(F.collect_list(F.struct("id", F.col("node").alias("label"), F.col("cluster").alias("cluster"), F.struct(F.col("count").alias("Documents")).alias("weights")))).alias("items"))
+    weights = F.struct(F.col("count").alias("Documents"), F.coalesce("degree", F.lit(0)).alias("Links"), F.coalesce("strength", F.lit(0.0)).alias("Total link strength"))
+    item = F.struct("id", F.col("node").alias("label"), "x", "y", "cluster", weights.alias("weights"), *([F.struct(*named).alias("scores")] if named else []))
+    left = items.agg(F.sort_array(F.collect_list(item)).alias("items"))
     right = links.agg(F.sort_array(F.collect_list(F.struct("source_id", "target_id", F.col("weight").alias("strength")))).alias("links"))
-    return left.crossJoin(right).select(F.to_json(F.struct(F.struct("items", "links").alias("network"), F.struct(F.lit("1").alias("version")).alias("config"))).alias("json"))
+    total = nodes.agg(F.count(F.lit(1)).alias("total"))
+    return left.crossJoin(right).crossJoin(total).select(F.to_json(F.struct(F.struct("items", "links").alias("network"), F.struct(F.lit("1").alias("version")).alias("config"))).alias("json"), F.least(F.lit(n).cast("long"), "total").alias("shown"), "total")

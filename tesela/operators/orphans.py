@@ -47,7 +47,31 @@ def reference_states(children: DataFrame, parents: DataFrame, deleted: DataFrame
     return cases.select("ref_table", "record_key", F.col("ref_key").alias("ref_key"), "arrived_at", state.alias("state")).where(F.col("state").isNotNull())
 
 
-def reference_report(states: DataFrame) -> DataFrame:
-    """Number of orphan references per referring table, month of arrival and state."""
+def reference_report(children: DataFrame, parents: DataFrame, deleted: DataFrame) -> DataFrame:
+    """``ref_table, month, state, n_refs, n_keys``: orphan references per referring table and month of arrival.
+
+    Inputs as of ``reference_states``. Children are first counted per key, table and month; parents,
+    deletions and these counts then meet in long form, and a group without a parent in order gives its
+    counts as they are: a key that holds a third of all rows is some dozens of counts. Only months in
+    which the parent itself arrived are looked up again in the children.
+    """
     month = F.date_format("arrived_at", "yyyy-MM")
-    return states.groupBy("ref_table", month.alias("month"), "state").agg(F.count(F.lit(1)).alias("n_refs"), F.countDistinct("ref_key").alias("n_keys"))
+    counted = children.where(F.col("ref_key").isNotNull()).groupBy(F.col("ref_key").alias("key"), "ref_table", month.alias("month")).agg(F.count(F.lit(1)).alias("n"), F.min("arrived_at").cast("timestamp").alias("lo"), F.max("arrived_at").cast("timestamp").alias("hi"))
+    ts = lambda c=None: (F.lit(None) if c is None else F.col(c)).cast("timestamp")
+    count = F.struct("ref_table", "month", "n", "lo", "hi")
+    kind = counted.select(count.alias("c")).schema["c"].dataType
+    none = F.lit(None).cast(kind).alias("c")
+    tagged = (
+        parents.select("key", F.lit(True).alias("is_parent"), ts("first_at").alias("first_at"), ts("last_at").alias("last_at"), ts().alias("deleted_at"), none)
+        .unionByName(deleted.select("key", F.lit(False).alias("is_parent"), ts().alias("first_at"), ts().alias("last_at"), ts("deleted_at").alias("deleted_at"), none))
+        .unionByName(counted.select("key", F.lit(False).alias("is_parent"), ts().alias("first_at"), ts().alias("last_at"), ts().alias("deleted_at"), count.alias("c")))
+        .where(F.col("key").isNotNull())
+    )
+    groups = tagged.groupBy("key").agg(F.max("is_parent").alias("has_parent"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.max("deleted_at").alias("deleted_at"), F.collect_list("c").alias("cs"))
+    gone = F.col("deleted_at").isNotNull() & ~F.coalesce(F.col("last_at") > F.col("deleted_at"), F.lit(False))
+    each = groups.select("key", "first_at", F.when(gone, "deleted").when(~F.col("has_parent"), "missing").alias("hard"), F.explode("cs").alias("c")).select("key", "first_at", "hard", "c.*")
+    whole = each.where(F.col("hard").isNotNull() | (F.col("hi") < F.col("first_at"))).select("ref_table", "month", F.coalesce("hard", F.lit("late")).alias("state"), "n")
+    mixed = each.where(F.col("hard").isNull() & (F.col("lo") < F.col("first_at")) & (F.col("hi") >= F.col("first_at"))).select("key", "ref_table", "month", "first_at")
+    again = children.select(F.col("ref_key").alias("key"), "ref_table", "arrived_at", month.alias("month")).join(mixed, ["key", "ref_table", "month"]).where(F.col("arrived_at") < F.col("first_at"))
+    late = again.groupBy("key", "ref_table", "month").agg(F.count(F.lit(1)).alias("n")).select("ref_table", "month", F.lit("late").alias("state"), "n")
+    return whole.unionByName(late).groupBy("ref_table", "month", "state").agg(F.sum("n").alias("n_refs"), F.count(F.lit(1)).alias("n_keys"))

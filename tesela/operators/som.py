@@ -89,28 +89,32 @@ def train_batch(df: DataFrame, vector: str, rows: int, cols: int, iterations: in
     return w
 
 
-def train_online(df: DataFrame, vector: str, rows: int, cols: int, iterations: int = 200, rate: float = 0.5, sigma_start: float | None = None, seed: int = 42) -> np.ndarray:
-    """Online training: each task updates its own copy of the map sample by sample in random order, and the copies are averaged by rows seen."""
+def train_online(df: DataFrame, vector: str, rows: int, cols: int, rate: float = 0.5, sigma_start: float | None = None, seed: int = 42) -> np.ndarray:
+    """Online training: each task updates its own copy of the map with every one of its rows, in the order of a hash, and the copies are averaged by rows seen.
+
+    Learning rate and radius fall with the rows a task has seen of its expected share, so the sizes
+    of Arrow batches change nothing.
+    """
     w0 = initial_weights(df, vector, rows, cols)
     shared, at = df.sparkSession.sparkContext.broadcast(w0), grid(rows, cols)
     apart = ((at[:, None] - at[None]) ** 2).sum(-1)
     sigma0 = sigma_start or 0.5 * (rows + cols) / 2
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(df.count() / parts, 1.0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, n, rng = shared.value.copy(), 0, np.random.default_rng(seed)
+        w, n = shared.value.copy(), 0
         for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf[vector].to_numpy()).astype(float)
-            n += len(x)
-            for t in range(iterations):
-                v = x[rng.integers(len(x))]
+            for v in np.stack(pdf[vector].to_numpy()).astype(float) if len(pdf) else ():
+                t = min(n / share, 1.0)
                 best = int(((w - v) ** 2).sum(1).argmin())
-                h = np.exp(-apart[best] / (2 * max(0.1, sigma0 * math.exp(-t / iterations)) ** 2)) * rate * (1 - t / iterations)
+                h = np.exp(-apart[best] / (2 * max(0.1, sigma0 * math.exp(-3 * t)) ** 2)) * rate * max(1 - t, 0.01)
                 w += h[:, None] * (v - w)
+                n += 1
         yield pd.DataFrame({"n": [float(n)], "w": [w.ravel() * n]})
 
-    sums = df.select(vector).mapInPandas(run, "n double, w array<double>").select("n", F.posexplode("w").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).orderBy("i").collect()
+    mixed = df.select(vector, F.xxhash64(vector, F.lit(seed)).alias("_order")).repartition(parts, "_order").sortWithinPartitions("_order").select(vector)
+    sums = mixed.mapInPandas(run, "n double, w array<double>").select("n", F.posexplode("w").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).orderBy("i").collect()
     return (np.array([r["v"] for r in sums]) / max(sums[0]["n"], 1.0)).reshape(w0.shape)
 
 

@@ -13,9 +13,9 @@ IRREGULAR = {"analyses": "analysis", "criteria": "criterion", "data": "data", "h
 
 def clean_abstract(c: Column) -> Column:
     """Abstract without section labels at line starts and copyright tail, white space collapsed."""
-    labels = F.regexp_replace(c, r"(?im)^\s*(?:background|objectives?|methods?|results?|conclusions?|introducci[oó]n|m[eé]todos?|resultados?)\s*:\s*", "")
-    tail = F.regexp_replace(labels, r"(?i)\s*(?:©|\(c\)\s|copyright\s|all rights reserved).*$", "")
-    return F.trim(F.regexp_replace(tail, r"\s+", " "))
+    labels = F.regexp_replace(c, r"(?imU)^\s*(?:background|objectives?|methods?|results?|conclusions?|introducci[oó]n|m[eé]todos?|resultados?)\s*:\s*", "")
+    tail = F.regexp_replace(labels, r"(?iU)\s*(?:©|\(c\)\s|copyright\s|all rights reserved).*$", "")
+    return F.trim(F.regexp_replace(tail, r"(?U)\s+", " "))
 
 
 def singular(c: Column) -> Column:
@@ -28,12 +28,13 @@ def singular(c: Column) -> Column:
 
 
 def noun_phrases(c: Column, longest: int = 3) -> Column:
-    """Runs of up to three content words that no stop word or punctuation interrupts."""
-    marks = F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}\s-]+", " | ")
-    stops = "(?<=^|\\s)(?:" + "|".join(sorted(STOP)) + "|\\d+)(?=\\s|$)"
+    """Phrases of up to three content words, singular: every run that no stop word or punctuation interrupts is cut into them from its beginning; in order, with repeats."""
+    marks = F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}\s_/-]+", " | ")
+    stops = "(?<=^|\\s)(?:" + "|".join(sorted(STOP)) + "|\\d+|\\p{L})(?=\\s|$)"
     runs = F.split(F.regexp_replace(marks, stops, "|"), r"\s*\|[\s|]*")
-    words = F.filter(F.transform(runs, lambda r: F.filter(F.split(F.trim(r), r"\s+"), lambda w: F.length(w) > 2)), lambda w: F.size(w) > 0)
-    return F.array_distinct(F.transform(words, lambda w: F.array_join(F.slice(w, F.greatest(F.size(w) - longest + 1, F.lit(1)), longest), " ")))
+    words = F.filter(F.transform(runs, lambda r: F.filter(F.split(F.trim(r), r"\s+"), lambda w: w != "")), lambda w: F.size(w) > 0)
+    cut = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / longest).cast("int")), lambda i: singular(F.array_join(F.slice(w, i * longest + 1, longest), " ")))
+    return F.filter(F.flatten(F.transform(words, cut)), lambda p: F.length(p) > 2)
 
 
 def relevance(records: DataFrame, field: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, POINT_CHUNK = 4096, 50_000
+QUERY_BLOCK, POINT_CHUNK, SLICE = 4096, 16_384, 128  # a task holds one slice of a block against a chunk: 16 MB of distances
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -24,8 +24,9 @@ def cosine_distance(a: Column, b: Column) -> Column:
 def nearest(points: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", metric: str = "euclidean") -> DataFrame:
     """``query, neighbour, distance, rank``: the k nearest other points of every query, exactly.
 
-    Queries go in blocks against all points in chunks; a (block, chunk) pair is one task of two
-    bounded matrices that yields k candidates per query, and the chunks' candidates merge by rank.
+    Queries go in blocks against all points in chunks; a (block, chunk) pair is one task that compares
+    a slice of its queries at a time and yields k candidates per query, and the chunks' candidates
+    merge by rank.
     """
     n_q, n_p = queries.count(), points.count()
     blocks, chunks = max(1, math.ceil(n_q / QUERY_BLOCK)), max(1, math.ceil(n_p / POINT_CHUNK))
@@ -36,15 +37,18 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query": [], "neighbour": [], "distance": []})
-        x, y = np.stack(a.v.to_numpy()).astype(float), np.stack(b.v.to_numpy()).astype(float)
+        every, y, other = np.stack(a.v.to_numpy()).astype(float), np.stack(b.v.to_numpy()).astype(float), b.p.to_numpy()
         if metric == "cosine":
-            d = 1 - (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
-        else:
-            d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T, 0))
-        d[a.q.to_numpy()[:, None] == b.p.to_numpy()] = np.inf
-        take = min(k, d.shape[1])
-        at = np.argpartition(d, take - 1, axis=1)[:, :take]
-        return pd.DataFrame({"query": np.repeat(a.q.to_numpy(), take), "neighbour": b.p.to_numpy()[at].ravel(), "distance": np.take_along_axis(d, at, 1).ravel()})
+            every, y = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (every, y))
+        squares, take, near, far = (y**2).sum(1), min(k, len(y)), [], []
+        for start in range(0, len(every), SLICE):
+            x = every[start : start + SLICE]
+            d = 1 - x @ y.T if metric == "cosine" else np.sqrt(np.maximum((x**2).sum(1)[:, None] + squares - 2 * x @ y.T, 0))
+            d[a.q.to_numpy()[start : start + SLICE, None] == other] = np.inf
+            at = np.argpartition(d, take - 1, axis=1)[:, :take]
+            near.append(other[at].ravel())
+            far.append(np.take_along_axis(d, at, 1).ravel())
+        return pd.DataFrame({"query": np.repeat(a.q.to_numpy(), take), "neighbour": np.concatenate(near), "distance": np.concatenate(far)})
 
     found = q.groupBy("block", "chunk").cogroup(p.groupBy("block", "chunk")).applyInPandas(search, "query long, neighbour long, distance double").where(F.col("distance") < float("inf"))
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour"))).where(F.col("rank") <= k)

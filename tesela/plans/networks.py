@@ -146,19 +146,23 @@ _add("G23_node_scores", lambda s, d: corpus(s, d).select(F.explode(F.array_disti
 _add("G24_communities", lambda s, d: nw.communities(*_country(s, d)))
 _add("G24_modularity", lambda s, d: (lambda e, n: nw.modularity(e, nw.communities(e, n)))(*_country(s, d)))
 _add("G25_merge_small", lambda s, d: (lambda e, n: nw.merge_small(e, nw.communities(e, n), 3))(*_country(s, d)))
-_add("G26_components", lambda s, d: nw.components(nw.filter_edges(_terms(s, d)[0], 2.0), _terms(s, d)[1]))
+_add("G26_components", lambda s, d: (lambda e, n: nw.components(nw.filter_edges(e, 2.0), n))(*_terms(s, d)), with_corpus(_T + ", u AS (SELECT a, b FROM edges WHERE weight >= 2 UNION SELECT b, a FROM edges WHERE weight >= 2), r(node, other) AS (SELECT node, node FROM nodes UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.other) SELECT node, min(other) AS component FROM r GROUP BY 1").replace("WITH ", "WITH RECURSIVE ", 1), raw=True)
 _add("G27_layout", lambda s, d: nw.layout(*_terms(s, d)))
 
 
 def _ami(s: SparkSession, d: str) -> DataFrame:
-    e = table(s, d, "embeddings")
-    first = e.select("vec_id", (F.col("embedding")[0] > 0).cast("int").alias("label"))
-    return nw.agreement(e.select("vec_id", "label"), first, "vec_id")
+    """Stability of the countries' communities between the works of two spans of years."""
+    c = corpus(s, d).where(F.col("publication_year").isNotNull())
+
+    def labels(part: DataFrame) -> DataFrame:
+        return nw.communities(nw.cooccurrence(part, "countries"), nw.node_counts(part, "countries").select("node")).withColumnRenamed("community", "label")
+
+    return nw.agreement(labels(c.where(F.col("publication_year") < 2018)), labels(c.where(F.col("publication_year") >= 2018)), "node")
 
 
 _add("G28_agreement", _ami)
 _add("G29_front_ranking", lambda s, d: corpus(s, d).select(F.explode(F.array_distinct("topics")).alias("front"), "fwci").groupBy("front").agg(F.count(F.lit(1)).alias("n"), mean_of("fwci").alias("fwci")).orderBy(F.desc("n"), "front").limit(10), f"SELECT front, count(*) AS n, {sql_mean('fwci')} AS fwci FROM (SELECT fwci, unnest(list_distinct(topics)) AS front FROM corpus) GROUP BY 1 ORDER BY n DESC, front LIMIT 10")
-_add("G30_json_export", lambda s, d: (lambda e, n: nw.export_json(e, n, n.select("node", F.lit(1).alias("cluster"))))(*_country(s, d)))
+_add("G30_json_export", lambda s, d: (lambda e, n: nw.export_json(e, n, nw.merge_small(e, nw.communities(e, n), 3), 1000, corpus(s, d).select(F.explode(F.array_distinct("countries")).alias("node"), "publication_year", "cited_by_count").groupBy("node").agg(mean_of("publication_year").alias("mean_year"), mean_of("cited_by_count").alias("mean_cites"))))(*_country(s, d)))
 _add("K09_top_subgraph", lambda s, d: nw.top_subgraph(*_country(s, d), 8), _C + ", k AS (SELECT node FROM nodes ORDER BY count DESC, node LIMIT 8) SELECT * FROM edges WHERE a IN (SELECT node FROM k) AND b IN (SELECT node FROM k)")
 _add("K10_bipartite_top", lambda s, d: (lambda e: e.join(F.broadcast(e.groupBy("b").agg(F.sum("weight").alias("w")).orderBy(F.desc("w"), "b").limit(10).select("b")), "b", "left_semi"))(nw.bipartite(corpus(s, d), "countries", "concepts")), ", x AS (SELECT id, unnest(countries) AS a FROM corpus), y AS (SELECT id, unnest(list_distinct(concepts)) AS b FROM corpus), e AS (SELECT a, b, CAST(count(*) AS DOUBLE) AS weight FROM x JOIN y USING (id) GROUP BY 1, 2) SELECT * FROM e WHERE b IN (SELECT b FROM e GROUP BY 1 ORDER BY sum(weight) DESC, b LIMIT 10)")
 _add("U08_graph_merge", lambda s, d: (lambda c: nw.cooccurrence(c.where(F.col("publication_year") < 2018), "countries").unionByName(nw.cooccurrence(c.where(F.col("publication_year") >= 2018), "countries")).groupBy("a", "b").agg(F.sum("weight").alias("weight")))(corpus(s, d).where(F.col("publication_year").isNotNull())), _C.replace("FROM corpus)),", "FROM corpus WHERE publication_year IS NOT NULL)),") + " SELECT * FROM edges")
@@ -167,7 +171,7 @@ _add("F20_degree_filter", lambda s, d: nw.degrees(_country(s, d)[0]).where(F.col
 _add("F21_count_filter", lambda s, d: _country(s, d)[1].where(F.col("count") >= 50).select("node"), _C + " SELECT node FROM nodes WHERE count >= 50")
 
 # Text mining
-_add("T01_clean_abstract", lambda s, d: table(s, d, "documents").select("doc_id", F.length(tm.clean_abstract(F.col("text"))).alias("n")))
+_add("T01_clean_abstract", lambda s, d: table(s, d, "documents").select("doc_id", tm.clean_abstract(F.col("text")).alias("clean")), r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '(?im)^[\s\x0B\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*(?:background|objectives?|methods?|results?|conclusions?|introducci[oó]n|m[eé]todos?|resultados?)[\s\x0B\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*:[\s\x0B\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*', '', 'g'), '(?i)[\s\x0B\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*(?:©|\(c\)[\s\x0B\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|copyright[\s\x0B\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|all rights reserved).*$', '', 'g'), '[\s\x0B\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'), ' ') AS clean FROM documents", raw=True)
 _add("T02_singular", lambda s, d: corpus(s, d).select(F.explode("author_keywords").alias("t")).distinct().select("t", tm.singular(F.lower("t")).alias("s")))
 _add("T03_noun_phrases", lambda s, d: corpus(s, d).select("id", F.explode(tm.noun_phrases(F.col("title"))).alias("phrase")))
 _REL = _T + ", p AS (SELECT node, count, count / sum(count) OVER () AS p FROM nodes), c AS (SELECT a AS node, b AS other, weight FROM edges UNION ALL SELECT b, a, weight FROM edges), k AS (SELECT c.node, p.p, c.weight / sum(c.weight) OVER (PARTITION BY c.node) AS pc FROM c JOIN p ON p.node = c.other), r AS (SELECT node, round(sum(pc * ln(pc / p)), 4) AS score FROM k GROUP BY 1)"
@@ -181,7 +185,7 @@ def _thesaurus(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("T06_thesaurus", _thesaurus, ", k AS (SELECT id, unnest(author_keywords) AS term, generate_subscripts(author_keywords, 1) AS i FROM corpus), r AS (SELECT id, i, CASE lower(term) WHEN 'study' THEN NULL WHEN 'science' THEN NULL WHEN 'research' THEN 'investigation' ELSE term END AS t FROM k), f AS (SELECT id, t, min(i) AS i FROM r WHERE t IS NOT NULL GROUP BY 1, 2) SELECT id, string_agg(t, '|' ORDER BY i) AS terms FROM f GROUP BY 1")
-_add("T07_cluster_keywords", lambda s, d: tm.cluster_keywords(table(s, d, "documents").where(F.col("lang").isin("es", "en", "pt")), "lang", "text"))
+_add("T07_cluster_keywords", lambda s, d: tm.cluster_keywords(table(s, d, "documents").withColumn("lang", F.coalesce("lang", F.lit("unknown"))), "lang", "text"))
 _add("T08_embedding_text", lambda s, d: corpus(s, d).select("id", F.concat(F.lit("Title: "), "title", F.lit(" | Keywords: "), F.array_join("keywords", ", ")).alias("text")), "SELECT id, 'Title: ' || title || ' | Keywords: ' || array_to_string(keywords, ', ') AS text FROM corpus")
 _add("T10_nlp_table", lambda s, d: corpus(s, d).select("id", F.col("publication_year").alias("year"), F.lower("title").alias("title"), F.array_join(F.transform("keywords", F.lower), "|").alias("keywords")), "SELECT id, publication_year AS year, lower(title) AS title, array_to_string([lower(k) for k in keywords], '|') AS keywords FROM corpus")
 _add("T11_burst_table", lambda s, d: corpus(s, d).where(F.col("publication_year").isNotNull()).select(F.col("publication_year").alias("year"), F.explode("keywords").alias("word")), "SELECT publication_year AS year, unnest(keywords) AS word FROM corpus WHERE publication_year IS NOT NULL")

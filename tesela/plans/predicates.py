@@ -286,7 +286,7 @@ def _inverted(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("X29_inverted_index", _inverted, "SELECT id, title FROM corpus")
-_add("X30_clean_text", lambda s, d: table(s, d, "documents").select("doc_id", F.xxhash64(tx.clean_text(F.col("text"))).isNotNull().alias("ok"), F.length(tx.clean_text(F.col("text"))).alias("n")), None)
+_add("X30_clean_text", lambda s, d: table(s, d, "documents").select("doc_id", tx.clean_text(F.col("text")).alias("clean")), r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[\s\x0B\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'), ' ') AS clean FROM documents", raw=True)
 _add("X31_doi_anywhere", lambda s, d: table(s, d, "works").select("work_id", F.regexp_extract(F.coalesce("doi", "title"), r"(10\.\d{4,9}/\S+)", 1).alias("doi")).where(F.col("doi") != "").distinct(), r"SELECT DISTINCT work_id, regexp_extract(coalesce(doi, title), '(10\.\d{4,9}/\S+)', 1) AS doi FROM works WHERE regexp_extract(coalesce(doi, title), '(10\.\d{4,9}/\S+)', 1) <> ''", raw=True)
 _add("X32_null_sentinel", lambda s, d: table(s, d, "snii_historico").groupBy(tx.valid(F.col("nivel")).alias("valid")).agg(F.count(F.lit(1)).alias("n")), "SELECT coalesce(lower(trim(nivel)) NOT IN ('', 'none', 'nan', '<na>', 'null'), false) AS valid, count(*) AS n FROM snii_historico GROUP BY 1", raw=True)
 _add("X37_month", lambda s, d: table(s, d, "orders").select("o_orderkey", tx.month_number(F.date_format("o_orderdate", "MMM")).alias("m")), "SELECT o_orderkey, CAST(month(o_orderdate) AS INTEGER) AS m FROM orders", raw=True)

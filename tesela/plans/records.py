@@ -39,7 +39,7 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
 
 def p2_report(spark: SparkSession, base: str) -> DataFrame:
     """Orphan references counted per table, month of the record's arrival and state."""
-    return orphans.reference_report(orphans.reference_states(*_reference_inputs(spark, base)))
+    return orphans.reference_report(*_reference_inputs(spark, base))
 
 
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
@@ -49,6 +49,12 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
     return runs.select(F.col("key").alias("cvu"), F.col("value").alias("nivel"), F.col("valid_from").cast("int").alias("valid_from"), F.col("valid_to").cast("int").alias("valid_to"))
 
 
+def p5_descent(spark: SparkSession, base: str) -> DataFrame:
+    """Leaf buckets per year and how many of them the comparison enters."""
+    rows = table(spark, base, "snii_historico").select(registry_key(F.col("cvu")).alias("cvu"), "year", registry_level(F.col("nivel")).alias("nivel"), "loaded_at")
+    return history.descent(history.snapshot(rows, "cvu", "year", "nivel", "loaded_at"))
+
+
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
     """One row per author, address or keyword of a raw record, with its position."""
     values = packed.split_fields(table(spark, base, "raw_records"), "record_id", packed.GRAMMARS)
@@ -88,7 +94,7 @@ g AS (SELECT *, year - row_number() OVER (PARTITION BY cvu, nivel ORDER BY year)
 SELECT cvu, nivel, CAST(min(year) AS INTEGER) AS valid_from, CAST(max(year) AS INTEGER) AS valid_to FROM g GROUP BY cvu, nivel, island
 """
 
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p7_found": p7_found, "p7_report": p7_report}
+QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p5_descent": p5_descent, "p7_found": p7_found, "p7_report": p7_report}
 SQL = {
     "p2_found": _P2_BASE + "SELECT ref_table, record_key, ref_work_id, state FROM s WHERE state IS NOT NULL",
     "p2_report": _P2_BASE + "SELECT ref_table, strftime(arrived_at AT TIME ZONE 'UTC', '%Y-%m') AS month, state, count(*) AS n_refs, count(DISTINCT ref_work_id) AS n_keys FROM s WHERE state IS NOT NULL GROUP BY 1, 2, 3",

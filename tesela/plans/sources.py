@@ -68,8 +68,25 @@ def _through_json(s: SparkSession, d: str) -> DataFrame:
 
 _add("S01_register_corpus", lambda s, d: sql.register_corpus(s, f"{d}/works.parquet", "tesela_works").groupBy("source_harvester").agg(F.count(F.lit(1)).alias("n")), "SELECT source_harvester, count(*) AS n FROM works GROUP BY 1", raw=True)
 _add("S02_parameterised_sql", lambda s, d: sql.run_sql(s, "SELECT work_id FROM {w} WHERE publication_year = :y AND is_oa", {"y": 2018}, w=table(s, d, "works")), "SELECT work_id FROM works WHERE publication_year = 2018 AND is_oa", raw=True)
-for _id in ("S03", "S05", "S07", "S08"):
-    _add(f"{_id}_guarded_sql", lambda s, d: sql.guarded(s, "SELECT journal_name, count(*) AS n FROM {w} GROUP BY journal_name ORDER BY n DESC, journal_name LIMIT 20", joins=False, w=table(s, d, "works")), "SELECT journal_name, count(*) AS n FROM works GROUP BY 1 ORDER BY n DESC, journal_name NULLS FIRST LIMIT 20", raw=True)
+_add("S03_guarded_sql", lambda s, d: sql.guarded(s, "SELECT author_id, count(*) AS n FROM {a} GROUP BY author_id ORDER BY n DESC, author_id", joins=False, a=table(s, d, "authorships")), "SELECT author_id, count(*) AS n FROM authorships GROUP BY 1 ORDER BY n DESC, author_id NULLS FIRST LIMIT 50", raw=True)
+_STATEMENTS = {"SELECT a FROM t": True, "SELECT a FROM t JOIN u USING (k)": False, "SELECT a FROM t ARRAY JOIN xs AS x": True, "SELECT 'left join' AS a FROM t -- join": True, "WITH v AS (SELECT 1) SELECT * FROM t inner\njoin v": False}
+
+
+def _join_ban(s: SparkSession, d: str) -> DataFrame:
+    def allowed(query: str) -> bool:
+        try:
+            sql.forbid_joins(query)
+        except ValueError:
+            return False
+        return True
+
+    return s.createDataFrame([(q, allowed(q)) for q in _STATEMENTS], "statement string, allowed boolean")
+
+
+_add("S04_join_ban", _join_ban, "SELECT * FROM (VALUES " + ", ".join(f"('{q.replace(chr(39), chr(39) * 2)}', {str(v).lower()})" for q, v in _STATEMENTS.items()) + ") t(statement, allowed)", raw=True)
+_add("S05_open_select", lambda s, d: sql.guarded(s, "WITH x AS (SELECT i.country_code AS country, a.author_id FROM {a} a JOIN {i} i ON i.id = a.institution_id) SELECT country, count(DISTINCT author_id) AS n FROM x GROUP BY country ORDER BY n DESC, country", a=table(s, d, "authorships"), i=table(s, d, "institutions")), "SELECT i.country_code AS country, count(DISTINCT author_id) AS n FROM authorships a JOIN institutions i ON i.id = a.institution_id GROUP BY 1 ORDER BY n DESC, country NULLS FIRST LIMIT 50", raw=True)
+_add("S07_agent_sql", lambda s, d: sql.guarded(s, "SELECT lang, section, count(*) AS n, sum(n_chars) AS chars FROM {t} GROUP BY lang, section ORDER BY n DESC, lang, section", 30, joins=False, t=table(s, d, "documents")), "SELECT lang, section, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1, 2 ORDER BY n DESC, lang NULLS FIRST, section NULLS FIRST LIMIT 30", raw=True)
+_add("S08_service_sql", lambda s, d: sql.guarded(s, "SELECT journal_name, count(*) AS n FROM {w} WHERE publication_year >= :y GROUP BY journal_name ORDER BY n DESC, journal_name LIMIT 20", joins=False, params={"y": 2015}, w=table(s, d, "works")), "SELECT journal_name, count(*) AS n FROM works WHERE publication_year >= 2015 GROUP BY 1 ORDER BY n DESC, journal_name NULLS FIRST LIMIT 20", raw=True)
 _add("S06_guarded_without_vectors", lambda s, d: sql.guarded(s, "SELECT * FROM {e} ORDER BY vec_id LIMIT 20", drop_vectors=True, e=table(s, d, "embeddings")), "SELECT vec_id, label FROM embeddings ORDER BY vec_id LIMIT 20", raw=True)
 _add("S09_filtered_scan", lambda s, d: sql.filtered_scan(table(s, d, "author_profiles").select("id", "display_name", "institution").distinct(), {"institution": "tlaravila", "display_name": "al"}, "id"), "SELECT DISTINCT id, display_name, institution FROM author_profiles WHERE contains(lower(institution), 'tlaravila') AND contains(lower(display_name), 'al')", raw=True)
 
@@ -86,11 +103,28 @@ _add("S12_direct_parquet", lambda s, d: s.sql(f"SELECT lang, count(*) AS n FROM
 
 
 def _windows(s: SparkSession, d: str) -> DataFrame:
-    w = s.createDataFrame([(0, 2000, 2009), (1, 2010, 2014), (2, 2015, 2019)], "bin_id int, y_start int, y_end int")
-    return sql.nearest_window(w, 2022)
+    """Five-year windows of the works, written and read back as a window file, and the one nearest to a year outside them."""
+    path = sinks.scratch(s, "windows")
+    years = table(s, d, "works").where(F.col("publication_year").isNotNull()).select("publication_year")
+    years.groupBy(F.floor(F.col("publication_year") / 5).cast("int").alias("bin_id")).agg(F.min("publication_year").alias("y_start"), F.max("publication_year").alias("y_end"), F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return sql.nearest_window(s.read.parquet(path), 1950)
+
+
+_add("S13_nearest_window", _windows, "SELECT CAST(publication_year // 5 AS INTEGER) AS bin_id, min(publication_year) AS y_start, max(publication_year) AS y_end, count(*) AS n FROM works WHERE publication_year IS NOT NULL GROUP BY 1 ORDER BY greatest(min(publication_year) - 1950, 1950 - max(publication_year), 0), 1 LIMIT 1", raw=True)
+
+
+def _by_path(s: SparkSession, d: str) -> DataFrame:
+    """A table found by file name and directory words in a tree of folders."""
+    base = sinks.scratch(s, "tree")
+    every = table(s, d, "institutions").select("id", "display_name", "country_code")
+    every.where(F.col("country_code") == "MX").write.parquet(f"{base}/institutions/MX/result.parquet")
+    every.where(F.col("country_code") != "MX").write.parquet(f"{base}/institutions/other/result.parquet")
+    tree = s.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{base}/institutions").select(F.regexp_extract("path", r"institutions/(.*)/[^/]+$", 1).alias("p")).distinct()
+    found = sql.resolve_path([r["p"] for r in tree.collect()], "result.parquet", "mx")
+    return s.read.parquet(f"{base}/institutions/{found}")
 
 
-_add("S13_nearest_window", _windows, "SELECT CAST(2 AS INTEGER) AS bin_id, CAST(2015 AS INTEGER) AS y_start, CAST(2019 AS INTEGER) AS y_end", raw=True)
+_add("S10_path_resolution", _by_path, "SELECT id, display_name, country_code FROM institutions WHERE country_code = 'MX'", raw=True)
 _add("S14_entity_by_id", lambda s, d: sql.entity_by_id(table(s, d, "institutions").select("id", "display_name"), "Universidad Autónoma de Tlaravila", ("id", "display_name")), "SELECT id, display_name FROM institutions WHERE display_name = 'Universidad Autónoma de Tlaravila'", raw=True)
 _add("S15_scopus_csv", _through_csv, _BACK)
 _add("S16_ris", _through_text(sinks.ris_lines, bib.read_ris, "ris"), _BACK)

@@ -12,7 +12,7 @@ from tesela.operators import dimension as dm
 from tesela.operators import som
 from tesela.operators import vectors as vc
 from tesela.operators.current import current_rows
-from tesela.session import table
+from tesela.session import durable, table
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -55,7 +55,7 @@ def _centroid(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("X15_centroid_similarity", _centroid)
-_add("M01_unit_matrix", lambda s, d: vc.long_rows(points(s, d).orderBy("vec_id").limit(100), "vec_id", "embedding").where(F.col("dim") < 5), "SELECT vec_id AS id, CAST(i AS INTEGER) AS dim, CAST(embedding[i + 1] AS DOUBLE) AS v FROM (SELECT vec_id, embedding, unnest(range(5)) AS i FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 100))")
+_add("M01_unit_matrix", lambda s, d: vc.long_rows(points(s, d), "vec_id", "embedding"), "SELECT vec_id AS id, CAST(i AS INTEGER) AS dim, CAST(embedding[i + 1] AS DOUBLE) AS v FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS i FROM embeddings)")
 _L = "WITH r AS (SELECT vec_id AS id, CAST(unnest(range(len(embedding))) AS INTEGER) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), s AS (SELECT dim, min(v) AS lo, max(v) AS hi, max(abs(v)) AS top, avg(v) AS mean, stddev_pop(v) AS std, quantile_cont(v, 0.25) AS q1, median(v) AS q2, quantile_cont(v, 0.75) AS q3 FROM r GROUP BY 1) "
 for _m, _f in (("divmax", "v / top"), ("minmax", "(v - lo) / (hi - lo)"), ("zscore", "(v - mean) / std"), ("robust", "(v - q2) / (q3 - q1)")):
     _add(f"M02_{_m}", lambda s, d, _m=_m: vc.normalise(vc.long_rows(points(s, d), "vec_id", "embedding"), _m).select("id", "dim", F.round("v", 7).alias("v")), _L + f"SELECT id, r.dim, round({_f}, 7) AS v FROM r JOIN s USING (dim)")
@@ -143,7 +143,7 @@ for _name, _column in (("M19_mle", "mle"), ("M22_mom", "mom"), ("M23_mada", "mad
     _add(_name, lambda s, d, _column=_column: dm.summary(_local(s, d), _column))
 _add("M20_two_nn", lambda s, d: dm.two_nn(_local(s, d)))
 _add("M21_correlation", lambda s, d: dm.correlation_dimension(_knn(s, d, "euclidean", 15)))
-_add("M24_graph_length", lambda s, d: dm.graph_length(_knn(s, d, "euclidean", 5)))
+_add("M24_graph_length", lambda s, d: dm.graph_length(points(s, d), query_points(s, d)))
 _add("M25_mind_ml", lambda s, d: dm.mind_ml(_local(s, d), 15))
 _add("M26_danco", lambda s, d: dm.danco(_local(s, d), 15))
 _add("M28_fisher", lambda s, d: dm.fisher_separability(points(s, d), query_points(s, d)))
@@ -153,14 +153,24 @@ _add("M32_manifolds", lambda s, d: dm.manifold(s, "sphere", 500, 5).select("vec_
 
 
 def _hierarchy(s: SparkSession, d: str) -> DataFrame:
-    """documents' vectors in clusters and sub-clusters, with the medoid-like member of each."""
+    """Clusters of the vectors, clusters inside each of them, and the medoid (the member nearest to the centre) of every inner one."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    p = points(s, d).select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    top = KMeans(k=4, seed=42, predictionCol="cluster").fit(p).transform(p)
-    sub = KMeans(k=12, seed=42, predictionCol="sub").fit(p).transform(top)
-    return sub.groupBy("cluster", "sub").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("representative"))
+    top_k, sub_k = 4, 3
+    p = points(s, d).select("vec_id", F.col("embedding").cast("array<double>").alias("x")).withColumn("features", array_to_vector("x"))
+    top = durable(KMeans(k=top_k, seed=42, predictionCol="cluster").fit(p).transform(p).select("vec_id", "x", "cluster"), eager=True)
+    out = None
+    for c in range(top_k):
+        inner = top.where(F.col("cluster") == c).withColumn("features", array_to_vector("x"))
+        if inner.isEmpty():
+            continue
+        model = KMeans(k=sub_k, seed=42, predictionCol="sub").fit(inner)
+        centre = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in model.clusterCenters()])
+        far = F.aggregate(F.zip_with("x", F.get(centre, F.col("sub")), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda z, v: z + v)
+        part = model.transform(inner).withColumn("far", far).groupBy("cluster", "sub").agg(F.count(F.lit(1)).alias("n"), F.min_by("vec_id", F.struct("far", "vec_id")).alias("medoid"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 _add("M33_hierarchical_clusters", _hierarchy)

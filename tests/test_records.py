@@ -52,10 +52,37 @@ def test_versions_against_plain_runs(spark):
     rows = [("a", y, v) for y, v in [(1, "x"), (2, "x"), (3, "y"), (5, "y"), (6, "x")]] + [("b", 4, "z")]
     snap = spark.createDataFrame(rows, "key string, period int, value string")
     assert rows_of(history.versions(snap)) == [("a", "x", 1, 2), ("a", "x", 6, 6), ("a", "y", 3, 3), ("a", "y", 5, 5), ("b", "z", 4, 4)]
-    leaves = history.changed_leaves(spark.createDataFrame([("a", 1, "x"), ("a", 2, "x")], "key string, period int, value string"))
+    leaves = history.changed_leaves(history.tree(spark.createDataFrame([("a", 1, "x"), ("a", 2, "x")], "key string, period int, value string"), 4, 3), 4, 3)
     assert {r.period for r in leaves.collect()} == {1, 3}
 
 
+def test_only_changed_branches_are_entered(spark):
+    """Of 2,000 keys three change: the comparison enters their leaves and no others, and gives the same versions at every depth."""
+    rows = [(str(k), p, "y" if p == 2 and k in (5, 70, 900) else "x") for k in range(2000) for p in (1, 2)]
+    snap = spark.createDataFrame(rows, "key string, period int, value string")
+    entered = {r.period: (r.leaves, r.entered) for r in history.descent(snap).collect()}
+    assert entered[2][1] <= 3 < entered[2][0]
+    want = rows_of(history.versions(snap))
+    assert len(want) == 2003 and want == rows_of(history.versions(snap, 2, 2)) == rows_of(history.versions(snap, 4, 5))
+
+
+def test_report_against_states(spark):
+    """The sums by month come out of the groups as they do from the single references."""
+    import random
+
+    rng = random.Random(4)
+    when = lambda: dt.datetime(2020, rng.randint(1, 4), rng.randint(1, 28))
+    kids = spark.createDataFrame([(rng.choice("tu"), str(i), rng.choice(["hot", *(f"k{j}" for j in range(30)), None]), when()) for i in range(1500)], "ref_table string, record_key string, ref_key string, arrived_at timestamp")
+    parents = spark.createDataFrame([(f"k{j}", *sorted([when(), when()])) for j in range(20)], "key string, first_at timestamp, last_at timestamp")
+    deleted = spark.createDataFrame([(f"k{j}", when()) for j in range(5, 25)], "key string, deleted_at timestamp")
+    states = orphans.reference_states(kids, parents, deleted).collect()
+    want: dict = {}
+    for r in states:
+        want.setdefault((r.ref_table, r.arrived_at.strftime("%Y-%m"), r.state), []).append(r.ref_key)
+    got = {(r.ref_table, r.month, r.state): (r.n_refs, r.n_keys) for r in orphans.reference_report(kids, parents, deleted).collect()}
+    assert got == {k: (len(v), len(set(v))) for k, v in want.items()}
+
+
 def test_snapshot_takes_the_last_load(spark):
     rows = spark.createDataFrame([("a", 1, "x", 1), ("a", 1, "y", 2), ("a", 1, None, 3), (None, 1, "z", 4)], "k string, p int, v string, o int")
     assert rows_of(history.snapshot(rows, "k", "p", "v", "o")) == [("a", 1, "y")]
