@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesela.llm import names, sparse, variants
-from tesela.operators.networks import components
 from tesela.session import durable
 
 HEAD_COSINE = 0.12  # of heads (n-grams and identifying words together) that are compared at all
@@ -91,7 +90,13 @@ def kinds(named: DataFrame) -> DataFrame:
 
     edges = durable(scored.mapInArrow(run, "a string, b string, weight double").where(F.col("weight") > 0), eager=True)
     nodes = heads.select(F.col("head").alias("node"), F.col("n").alias("size"))
-    clusters = variants.linkage_groups(nodes, edges, components(edges, nodes.select("node")), HEAD_LINKAGE)
+    # every head belongs with the most similar more frequent one; average linkage then works inside these trees
+    either = edges.where(F.col("weight") >= HEAD_LINKAGE).select(F.explode(F.array(F.struct("a", "b", "weight"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))).alias("e")).select("e.*")
+    rank = lambda x: nodes.select(F.col("node").alias(x), F.struct("size", "node").alias(f"r{x}"))
+    up = either.join(rank("a"), "a").join(rank("b"), "b").where(F.col("ra") < F.col("rb")).groupBy(F.col("a").alias("sig")).agg(F.max_by("b", F.struct("weight", "rb")).alias("fuller"))
+    tree = variants.roots(up).select(F.col("sig").alias("node"), F.col("root").alias("component"))
+    labels = nodes.select("node").join(tree, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    clusters = variants.linkage_groups(nodes, edges, labels, HEAD_LINKAGE)
     named_by = clusters.join(nodes, "node").groupBy("cluster").agg(F.max_by("node", F.struct("size", "node")).alias("kind"))
     return clusters.join(named_by, "cluster").select(F.col("node").alias("head"), "kind")
 

@@ -176,7 +176,7 @@ def fuller_names(sigs: DataFrame) -> DataFrame:
 
 
 def roots(links: DataFrame) -> DataFrame:
-    """``sig, root`` of links to fuller names, followed to their ends; every step leads to a name with more parts."""
+    """``sig, root`` of links ``sig, fuller``, followed to their ends; every step leads to a fuller or a more frequent name, so this ends."""
     links = durable(links.select("sig", F.col("fuller").alias("root")), eager=True)
     while True:
         further = links.select(F.col("sig").alias("root"), F.col("root").alias("next"))
@@ -344,14 +344,10 @@ def average_linkage(grouped: DataFrame) -> DataFrame:
 
 def cluster_names(sigs: DataFrame) -> DataFrame:
     """``sig, cluster`` of distinct signatures ``sig, given, family, n``."""
-    from tesela.operators.networks import components
-
     links = roots(fuller_names(sigs))
     tops = sigs.join(links.select("sig"), "sig", "left_anti")
-    close = durable(close_names(tops), eager=True)
-    ends = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    groups = components(close.select("a", "b", F.col("cosine").alias("weight")), ends) if not close.isEmpty() else ends.withColumn("component", F.col("node"))
-    label = sigs.join(links, "sig", "left").withColumn("top", F.coalesce("root", "sig")).join(groups.select(F.col("node").alias("top"), "component"), "top", "left").withColumn("label", F.coalesce("component", "top"))
+    close = roots(close_names(tops).select(F.col("a").alias("sig"), F.col("b").alias("fuller"))).withColumnsRenamed({"sig": "top", "root": "close"})
+    label = sigs.join(links, "sig", "left").withColumn("top", F.coalesce("root", "sig")).join(close, "top", "left").withColumn("label", F.coalesce("close", "top"))
     return average_linkage(label)
 
 
