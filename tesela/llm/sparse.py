@@ -33,8 +33,8 @@ def gram_features(text: Column, n: Column | int, *tags: Column) -> Column:
 def feature_weights(vectors: DataFrame, column: str = "features") -> np.ndarray:
     """Weight of every feature number; the counts that come to the driver are ``BUCKETS`` at most."""
     counts = np.zeros(BUCKETS)
-    for r in vectors.select(F.explode(column).alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).collect():
-        counts[r["f"]] = r["n"]
+    seen = vectors.select(F.explode(column).alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    counts[np.asarray(seen["f"])] = np.asarray(seen["n"])
     most = max(counts.max(), 1.0)
     return np.sqrt(np.log1p(most / np.maximum(counts, 1.0)) + 0.1).astype(np.float32)
 
