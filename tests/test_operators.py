@@ -125,7 +125,7 @@ def test_guards_and_paths(spark):
     sql.forbid_joins("SELECT 'join' FROM a ARRAY JOIN x")
     assert sql.guarded(spark, "SELECT id FROM range(100)", limit=5).count() == 5
     assert sql.resolve_table(["x_works", "old_x_works", "y"], "works") == "x_works"
-    assert sql.resolve_path(["a/t.parquet", "unam/t.parquet", "unam/dept/t.parquet"], "t.parquet", "unam") == "unam/t.parquet"
+    assert sql.resolve_path(["a/t.parquet", "north/t.parquet", "north/dept/t.parquet"], "t.parquet", "north") == "north/t.parquet"
 
 
 def test_readers(spark, tmp_path):
