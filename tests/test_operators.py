@@ -35,6 +35,23 @@ def test_components_and_communities(spark):
     assert nw.triangles(edges).collect()[0][0] == 2
 
 
+def test_communities_end_and_only_gain(spark):
+    """Simultaneous moves that thwart each other neither go round for ever nor lower the modularity; joins and one task agree."""
+    rng = np.random.default_rng(5)
+    group = rng.integers(0, 6, 60)
+    rows = [(f"n{i:02d}", f"n{j:02d}", float(rng.integers(1, 9))) for i in range(60) for j in range(i + 1, 60) if rng.random() < (0.35 if group[i] == group[j] else 0.12)]
+    edges = spark.createDataFrame(rows, "a string, b string, weight double")
+    a, b, w = (np.array(x) for x in zip(*[(int(p[1:]), int(q[1:]), v) for p, q, v in rows]))
+    assert len(nw._moves(a, b, w, w.sum(), 1.0)) == 60
+    path = spark.createDataFrame([("a", "b", 1.0), ("c", "d", 1.0), ("b", "c", 0.5)], "a string, b string, weight double")
+    four = spark.createDataFrame([(x,) for x in "abcd"], "node string")
+    assert rows_of(nw.communities(path, four)) == rows_of(nw.communities(path, four, one_task=0))
+    ring = [(f"r{i:03d}", f"r{(i + 1) % 200:03d}", 1.0) for i in range(200)]
+    r = spark.createDataFrame(ring, "a string, b string, weight double")
+    for e, least in ((edges, 0.15), (r, 0.8)):
+        assert nw.modularity(e, nw.communities(e, nw.degrees(e).select("node"))).collect()[0].q > least
+
+
 def test_agreement(spark):
     a = spark.createDataFrame([(i, i % 3) for i in range(30)], "k int, label int")
     assert nw.agreement(a, a, "k").collect()[0].ami == pytest.approx(1)
