@@ -228,3 +228,16 @@ def test_verified_matches_are_found(spark):
     m = spark.read.parquet(f"{base}/snii_llm_verified_matches.parquet").select(registry_key(F.col("snii_cvu")).alias("cvu"), F.regexp_extract("matched_openalex_id", r"(A\d+)", 1).alias("pid")).join(spark.read.parquet(f"{base}/author_profiles.parquet").select(F.col("id").alias("pid")).distinct(), "pid").where(F.col("cvu").isNotNull()).distinct()
     pairs = [(r.cvu, r.pid) for r in m.collect()]
     assert pairs and sum(p in found for p in pairs) >= 0.85 * len(pairs)
+
+
+def test_families_of_many_given_names_count_for_aliases(spark):
+    """A short form is learned from surnames with 60 given names too; where everybody has every name, there is nothing to learn."""
+    rng = random.Random(1)
+    vocabulary = [f"name{i:04d}" for i in range(3000)]
+    rows = [([g], [f"small{f}", "other"]) for f in range(3000) for g in rng.sample(vocabulary, 2)]
+    for f in range(12):
+        rows += [([g], [f"large{f}", "other"]) for g in {*rng.sample(vocabulary, 58), "francisco", *(["paco"] if f < 6 else [])}]
+    parsed = "given array<string>, family array<string>"
+    assert {r.alias: r.name for r in variants.given_aliases(spark.createDataFrame(rows, parsed)).collect()}["paco"] == "francisco"
+    full = [([f"given{g:02d}"], [f"same{f}", "other"]) for f in range(20) for g in range(60) if g or f < 16]
+    assert variants.given_aliases(spark.createDataFrame(full, parsed)).count() == 0
