@@ -230,6 +230,14 @@ def test_verified_matches_are_found(spark):
     assert pairs and sum(p in found for p in pairs) >= 0.85 * len(pairs)
 
 
+def test_very_common_complete_names_all_meet(spark):
+    """Every pair of profiles of one complete name is compared, also where 230 have it and no attribute agrees."""
+    rows = [(f"p{i:03d}", ["ana"], ["soto", "lara"], "ana|soto lara", None, f"topic{i}", "MX", None, f"e{i}", True) for i in range(230)]
+    people = spark.createDataFrame(rows, "id string, given array<string>, family array<string>, sig string, orcid string, topic string, country string, level string, employer string, complete boolean")
+    pairs = entities.candidate_pairs(people)
+    assert pairs.count() == pairs.where("a < b").distinct().count() == 230 * 229 // 2
+
+
 def test_families_of_many_given_names_count_for_aliases(spark):
     """A short form is learned from surnames with 60 given names too; where everybody has every name, there is nothing to learn."""
     rng = random.Random(1)
