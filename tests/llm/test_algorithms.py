@@ -7,6 +7,7 @@ import random
 import unicodedata
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,3 +250,34 @@ def test_families_of_many_given_names_count_for_aliases(spark):
     assert {r.alias: r.name for r in variants.given_aliases(spark.createDataFrame(rows, parsed)).collect()}["paco"] == "francisco"
     full = [([f"given{g:02d}"], [f"same{f}", "other"]) for f in range(20) for g in range(60) if g or f < 16]
     assert variants.given_aliases(spark.createDataFrame(full, parsed)).count() == 0
+
+
+def test_words_are_compared_in_every_size_of_their_grams(spark):
+    """Words of five and six letters have two vectors; a pair that reaches the threshold with either is found with it."""
+    rng = random.Random(2)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(5, 6))) for _ in range(60)})
+    vectors = variants.word_vectors(spark.createDataFrame([("person", w, 1) for w in words], "space string, word string, n long"))
+    weights = sparse.feature_weights(vectors)
+    a, b = F.col("a"), F.col("b")
+    met = sparse.cosine_join(vectors, vectors, weights, 0.4, a["size"] - b["size"] == 0, lambda x: sparse.gram_features(F.col(f"{x}.id"), F.col(f"{x}.size"), F.col(f"{x}.space")))
+    vector = {(r.id, r["size"]): {f: float(weights[f]) ** 2 for f in r.features} for r in vectors.collect()}
+    want = set()
+    for (v, k), (w, m) in itertools.permutations(vector, 2):
+        x, y = vector[v, k], vector[w, m]
+        if k == m and sum(x[f] for f in x if f in y) >= 0.4 * (sum(x.values()) * sum(y.values())) ** 0.5:
+            want.add((v, w, k))
+    assert {(r.a.id, r.b.id, r.a["size"]) for r in met.collect()} == want and {2, 3} == {k for *_, k in want}
+
+
+def test_close_names_meet_without_postings(spark, monkeypatch):
+    """Names that differ in one surname meet in what they have in common; nothing is posted and only close pairs get vectors."""
+    monkeypatch.setattr(sparse, "posted", lambda *_: pytest.fail("posted"))
+    rows = [("ana", "garcia", "sachichirga", 8), ("ana", "garcia", "sachochirga", 1), ("ana", "garcia", "sachichirgo", 5), ("ana", "garcio", "sachichirga", 2), ("eva", "garcia", "sachochirga", 1), ("ana", "garcia", "vega", 1), ("ana", "garcia", "vego", 9)]
+    sigs = spark.createDataFrame([(names.signature([g], [x, y]), [g], [x, y], n) for g, x, y, n in rows], "sig string, given array<string>, family array<string>, n long")
+    got = {(r.a, r.b) for r in variants.close_names(sigs).collect()}
+    assert got == {("ana|garcia sachochirga", "ana|garcia sachichirga"), ("ana|garcio sachichirga", "ana|garcia sachichirga")}
+
+
+def test_lists_of_columns():
+    rows = [["a"], [], ["b", "c"], ["d"]]
+    assert names.lists(names.list_array(rows, pa.string()).slice(1, 2)) == rows[1:3]
