@@ -281,3 +281,4 @@ def test_close_names_meet_without_postings(spark, monkeypatch):
 def test_lists_of_columns():
     rows = [["a"], [], ["b", "c"], ["d"]]
     assert names.lists(names.list_array(rows, pa.string()).slice(1, 2)) == rows[1:3]
+    assert names.values(pa.array(["x", None, "é"])) == ["x", None, "é"] and names.values(pa.array([3, 4])) == [3, 4] and names.values(pa.array([], pa.string())) == []
