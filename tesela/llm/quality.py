@@ -11,6 +11,7 @@ one with the largest share of its characters.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,64 +37,83 @@ _KEY = re.compile(r"[^:\t]{1,24}:(?:\s|$)")
 _TIGHT = re.compile(r"[;,](?=[^\s])")
 _WIDE = re.compile(r"(?<=\S) {2,}(?=\S)")
 _LOOSE = re.compile(r"[,;|·•/]\s")
-_NOISE = re.compile(r"[$%&*+=_#?¡¿<>{}@^~\\©€™�Ã¤¦§¬¢]")
+_NOISE = "$%&*+=_#?¡¿<>{}@^~\\©€™�Ã¤¦§¬¢"
 _YEAR = re.compile(r"\((?:19|20)\d\d[a-z]?\)")
 _RUN = re.compile(r"[^\W\d_aeiouyáéíóúàâêôãõüAEIOUYÁÉÍÓÚÂÊÔÃÕÜ]{5,}")
+#: Whether a byte of Latin-1 may be a letter of a run: ``?``, which also stands for all that Latin-1 has not, and what ``_RUN`` admits.
+_IN_RUN = bytes(ord("x" if c == "?" or _RUN.fullmatch(c * 5) else " ") for c in map(chr, range(256)))
 _LEADER = re.compile(r"(?:\.{3,}|…{2,}|(?: \.){3,})\s*\d+$")
-_DIGIT = re.compile(r"\d")
+_DIGITS = re.compile(r"\d\S*")
 _ENDS = (".", "?", "!", ":", "…", '."', ".”", ".»", ".)")
 
 #: Statistics of a line and the number of their bins.
 FEATURES = {"cells": 5, "delimiter": 5, "items": 3, "marker": 6, "end": 4, "common": 5, "words": 5, "digits": 4, "signs": 4, "noise": 4, "shape": 7, "year": 2, "token": 5, "distinct": 4}
 
 
-def _bin(value: float, bounds: tuple[float, ...]) -> int:
-    return sum(value >= b for b in bounds)
+def line_statistics(line: str, text: str, previous: str, words: list[str], n_common: int, n_letters: int, tokens: list[str], visible: int, ended: bool, noisy: str) -> bytes:
+    """Bins of the statistics of a non-blank line, in the order of ``FEATURES``; every test takes time linear in the line, at any length.
 
-
-def line_statistics(line: str, previous: str, words: list[str], n_common: int) -> bytes:
-    """Bins of the statistics of a non-blank line, in the order of ``FEATURES``; every test takes time linear in the line, at any length."""
-    text = line.strip()
-    tokens = text.split()
-    size, n = len(text), len(tokens)
-    counts = (line.strip(" ").count("\t"), text.count("|") if text.count("|") > 1 or " | " not in text else 0, len(_TIGHT.findall(text)), len(_WIDE.findall(text)))
-    kind = max(range(4), key=counts.__getitem__)
-    cells = 1 + counts[kind]
-    grid = text[0] == "|" or text.startswith(("+-", "+="))
-    if cells > 1 and kind == 1 and not grid and counts[1] < 2:
+    text: the line without blanks around it; n_letters and visible: summed lengths of its words and
+    tokens; noisy: the characters of ``_NOISE`` that its document has. A search is left out where a
+    cheaper one shows that it finds nothing.
+    """
+    size, n, n_words = len(text), len(tokens), len(words)
+    first, last = text[0], text[-1]
+    bars, commas, tabs = text.count("|"), text.count(",") + text.count(";"), line.strip(" ").count("\t")
+    spaced = text.count(", ") + text.count("; ") if commas else 0
+    counts = (tabs, bars if bars > 1 or bars and " | " not in text else 0, len(_TIGHT.findall(text)) if commas > spaced + (last in ",;") else 0, len(_WIDE.findall(text)) if "  " in text else 0)
+    most = max(counts)
+    kind = counts.index(most)
+    cells = 1 + most
+    grid = first == "|" or text.startswith(("+-", "+="))
+    if cells > 1 and kind == 1 and not grid and bars < 2:
         cells = 1
-    per_cell = n / cells if kind != 2 else max(n, 1) / cells
+    per_cell = n / cells
     cell_bin = 4 if grid else 0 if cells == 1 else 1 if per_cell <= 2 else 2 if per_cell <= 5 else 3
     delimiter = 0 if cells == 1 and not grid else 2 if grid else kind + 1
-    items = 1 + len(_LOOSE.findall(text))
-    item_bin = 0 if items < 3 else 1 if len(words) <= 4 * items else 2
-    marker = 1 if _BULLET.match(text + " ") else 2 if _NUMBERED.match(text + " ") else 3 if (m := _KEY.match(text)) and len(m.group().split()) <= 3 and n <= 9 else 4 if text[0].isupper() else 5 if text[0].islower() else 0
-    end = 2 if _LEADER.search(text[-80:]) else 1 if text.endswith(_ENDS) else 3 if text[-1].isdigit() else 0
-    share = n_common / len(words) if words else 0.0
-    digits = sum(map(bool, map(_DIGIT.search, tokens))) / n if _DIGIT.search(text) else 0
-    lengths = [*map(len, tokens)]
-    longest, visible = max(lengths), sum(lengths)
-    signs = max(0, visible - sum(map(len, words)))
+    items = 1 + (len(_LOOSE.findall(text)) if commas or bars or "/" in text or "·" in text or "•" in text else 0)
+    item_bin = 0 if items < 3 else 1 if n_words <= 4 * items else 2
+    upper = first.isupper()
+    if not upper and _BULLET.match(text + " "):
+        marker = 1
+    elif not upper and _NUMBERED.match(text + " "):
+        marker = 2
+    elif n <= 9 and ":" in text and (m := _KEY.match(text)) and len(m.group().split()) <= 3:
+        marker = 3
+    else:
+        marker = 4 if upper else 5 if first.islower() else 0
+    number = last.isdigit()
+    end = 2 if number and _LEADER.search(text[-80:]) else 1 if ended else 3 if number else 0
+    share = n_common / n_words if n_words else 0.0
+    digits = len(_DIGITS.findall(text)) / n
+    signs = max(0, visible - n_letters)
     distinct = len(set(words))
-    if text == previous and n <= 8:
+    lengths = [*map(len, tokens)]
+    longest = max(lengths)
+    if n <= 8 and text == previous:
         shape = 1
     elif longest >= 40 and longest > size / 2:
         shape = 2
     elif n >= 8 and lengths.count(1) >= 0.6 * n:
         shape = 3
-    elif n >= 8 and distinct <= 10 and distinct <= len(words) / 4:
+    elif n >= 8 and distinct <= 10 and distinct <= n_words / 4:
         shape = 4
-    elif n >= 3 and len(_RUN.findall(text)) >= 0.35 * n:
+    elif n >= 3 and b"xxxxx" in text.encode("latin-1", "replace").translate(_IN_RUN) and len(_RUN.findall(text)) >= 0.35 * n:
         shape = 5
     else:
         shape = 6 if n >= 12 and share < 0.06 and item_bin != 1 else 0
+    noise = sum(map(text.count, noisy)) if signs else 0
     return bytes((
-        cell_bin, delimiter, item_bin, marker, end, 0 if share == 0 else 1 + _bin(share, (0.1, 0.2, 0.35)), _bin(n, (3, 6, 9, 17)), 0 if digits == 0 else 1 + _bin(digits, (0.25, 0.5)),
-        _bin(signs / size, (0.03, 0.08, 0.2)), 0 if not signs or not (noise := len(_NOISE.findall(text))) else 1 + _bin(noise / size, (0.025, 0.08)), shape, int(bool(_YEAR.search(text))),
-        _bin(visible / n, (1.5, 3, 9, 20)), 0 if len(words) < 8 else 1 + _bin(-distinct / len(words), (-0.5, -0.25)),
+        cell_bin, delimiter, item_bin, marker, end, 0 if share == 0 else 1 + bisect(_SHARES, share), bisect(_WORDS, n), 0 if digits == 0 else 1 + bisect(_DIGIT_SHARES, digits),
+        bisect(_SIGNS, signs / size), 1 + bisect(_NOISES, noise / size) if noise else 0, shape, 1 if "(" in text and _YEAR.search(text) else 0,
+        bisect(_TOKENS, visible / n), 0 if n_words < 8 else 1 + bisect(_REPEATS, -distinct / n_words),
     ))
 
 
+# Bounds of bins; a value at a bound is in the upper bin.
+_SHARES, _WORDS, _DIGIT_SHARES, _SIGNS, _NOISES, _TOKENS, _REPEATS = (0.1, 0.2, 0.35), (3, 6, 9, 17), (0.25, 0.5), (0.03, 0.08, 0.2), (0.025, 0.08), (1.5, 3, 9, 20), (-0.5, -0.25)
+
+
 #: Starting weights of the statistics of a line in general.
 USUAL = {
     "cells": [9, 0.3, 0.3, 0.3, 0.02], "delimiter": [9, 0.3, 0.1, 0.3, 0.3], "items": [8, 1, 1], "marker": [1, 0.1, 0.2, 0.2, 5, 3], "end": [5, 4, 0.1, 1], "common": [3, 2, 2, 2, 2], "words": [1, 1, 1, 2, 3],
@@ -129,22 +149,30 @@ def text_features(text: str) -> tuple:
     ``(n_words, mean_word_length, symbol_ratio, punct_line_share, common_share, lines, sizes)``; the
     ratios of a text without words or characters are 0.
     """
-    n_words = n_letters = n_common = ended = 0
+    n_words = n_letters = n_common = ended = visible = 0
     lines, sizes, previous = [], [], ""
-    for line in text.splitlines():
-        bare = line.strip()
-        if not bare:
+    # signs other than apostrophes become blanks, so that words are split off; line breaks stay
+    spelled = text.lower()
+    for c in set(spelled):
+        if not (c.isalnum() or c.isspace() or c in "'’"):
+            spelled = spelled.replace(c, " ")
+    marked = "'" in spelled or "’" in spelled
+    noisy = "".join(c for c in _NOISE if c in text)
+    for line, low in zip(text.splitlines(), spelled.splitlines()):
+        tokens = line.split()
+        if not tokens:
             continue
-        words = _WORD.findall(bare.lower())
-        common = sum(map(COMMON.__contains__, words))
+        bare = line.strip()
+        words = _WORD.findall(low) if marked and ("'" in low or "’" in low) else low.split()
+        common, letters, seen, ends = sum(map(COMMON.__contains__, words)), len("".join(words)), len("".join(tokens)), bare.endswith(_ENDS)
         n_words += len(words)
-        n_letters += sum(map(len, words))
+        n_letters += letters
         n_common += common
-        ended += bare.endswith(_ENDS)
-        lines.append(line_statistics(line, previous, words, common))
+        visible += seen
+        ended += ends
+        lines.append(line_statistics(line, bare, previous, words, common, letters, tokens, seen, ends, noisy))
         sizes.append(len(bare))
         previous = bare
-    visible = len("".join(text.split()))
     symbol_ratio = max(0, visible - n_letters) / len(text) if text else 0.0
     return (n_words, n_letters / n_words if n_words else 0.0, symbol_ratio, ended / len(sizes) if sizes else 0.0, n_common / n_words if n_words else 0.0, b"".join(lines), sizes)
 
