@@ -278,6 +278,33 @@ def test_close_names_meet_without_postings(spark, monkeypatch):
     assert got == {("ana|garcia sachochirga", "ana|garcia sachichirga"), ("ana|garcio sachichirga", "ana|garcia sachichirga")}
 
 
+def test_words_one_edit_apart_meet_without_postings(spark, monkeypatch):
+    """Slips of one edit meet by equality after leaving out a letter; only words that may be two edits apart are posted."""
+    posted = sparse.posted
+    seen: list[str] = []
+
+    def watched(df, weights):
+        seen.extend(r.id for r in df.select("id").collect())
+        return posted(df, weights)
+
+    monkeypatch.setattr(sparse, "posted", watched)
+    rng = random.Random(4)
+    common = sorted({"".join(rng.choice("abcdefgimnorst") for _ in range(rng.randint(4, 11))) for _ in range(40)})
+    slip = {}
+    for w in common:
+        for kind in range(4):
+            i = rng.randrange(len(w) - 1)
+            v = (w[:i] + w[i + 1 :], w[:i] + "x" + w[i:], w[:i] + "x" + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :])[kind]
+            if len(v) >= 3 and v not in common:
+                slip[v] = w
+    words = spark.createDataFrame([("person", w, 40) for w in common] + [("person", v, 1) for v in slip] + [("other", common[0][:-1] + "x", 1)], "space string, word string, n long")
+    met = {(r.a.id, r.b.id) for r in variants.near_words(words).collect()}
+    assert met >= set(slip.items()) and all(names.near(v, w) or (len(v) == len(w) and set(v) == set(w)) for v, w in met)
+    got = {r.word: r.fixed for r in variants.slips(words).collect()}
+    assert set(got) <= set(slip) and sum(got.get(v) == w for v, w in slip.items()) >= 0.9 * len(slip)
+    assert seen and all(len(w) >= variants.FAR_LENGTH for w in seen)
+
+
 def test_lists_of_columns():
     rows = [["a"], [], ["b", "c"], ["d"]]
     assert names.lists(names.list_array(rows, pa.string()).slice(1, 2)) == rows[1:3]
