@@ -305,6 +305,16 @@ def test_words_one_edit_apart_meet_without_postings(spark, monkeypatch):
     assert seen and all(len(w) >= variants.FAR_LENGTH for w in seen)
 
 
+def test_sides_unique_by_key_are_hashed_where_they_lie(spark):
+    nodes = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 1.0)], "node string, size double")
+    edges = spark.createDataFrame([("a", "b", 0.9)], "a string, b string, weight double")
+    labels = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c")], "node string, component string")
+    found = variants.linkage_groups(nodes, edges, labels, 0.5)
+    assert sorted(map(tuple, found.collect())) == [("a", "a"), ("b", "a"), ("c", "c")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan  # a broadcast would pass through the driver
+
+
 def test_lists_of_columns():
     rows = [["a"], [], ["b", "c"], ["d"]]
     assert names.lists(names.list_array(rows, pa.string()).slice(1, 2)) == rows[1:3]
